@@ -1,0 +1,5 @@
+"""Intentionally empty.
+
+All refreshes are scheduled full batches: forward labels, cross-sectional scores and row-position windows need complete
+history, so no streaming operator is offered.
+"""
