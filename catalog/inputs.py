@@ -7,7 +7,7 @@ annual  one row per order year
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.sources.normalise import align_series
@@ -20,104 +20,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cents(amount: Column) -> Column:
-    return F.round(amount * 100).cast("bigint")
-
-
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume-weighted close and price range per series and day.
 
     Sums are taken over whole cents and pieces, so that they do not depend on the order of addition. A brand with very
     many lines is reduced per task before the shuffle; the index series is added to the already reduced rows.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
         "l_partkey",
-        F.to_date("l_shipdate").alias("date"),
-        cents(F.col("l_extendedprice")).alias("cents"),
-        F.col("l_quantity").cast("bigint").alias("pieces"),
+        "to_date(l_shipdate) AS date",
+        "cast(round(l_extendedprice * 100) AS bigint) AS cents",
+        "cast(l_quantity AS bigint) AS pieces",
     )
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
-    unit = F.col("cents").cast("double") / F.col("pieces").cast("double")
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_brand AS brand")
     daily = (
         lines.join(parts, "l_partkey")
         .groupBy("brand", "date")
         .agg(
-            F.sum("cents").alias("cents"),
-            F.sum("pieces").alias("pieces"),
-            F.max(unit).alias("high"),
-            F.min(unit).alias("low"),
+            F.expr("sum(cents) AS cents"),
+            F.expr("sum(pieces) AS pieces"),
+            F.expr("max(cents / pieces) AS high"),
+            F.expr("min(cents / pieces) AS low"),
         )
     )
-    series = F.explode(F.array(F.col("brand"), F.lit(INDEX)))
-    both = daily.select(series.alias("ticker"), "date", "cents", "pieces", "high", "low")
+    both = daily.selectExpr(f"explode(array(brand, '{INDEX}')) AS ticker", "date", "cents", "pieces", "high", "low")
     summed = both.groupBy("ticker", "date").agg(
-        F.sum("cents").alias("cents"),
-        F.sum("pieces").alias("pieces"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
+        F.expr("sum(cents) AS cents"), F.expr("sum(pieces) AS pieces"), F.expr("max(high) AS high"), F.expr("min(low) AS low")
     )
-    hundred = F.lit(100.0)
-    return summed.select(
+    return summed.selectExpr(
         "date",
         "ticker",
-        ((F.col("high") + F.col("low")) / 2 / hundred).alias("open"),
-        (F.col("high") / hundred).alias("high"),
-        (F.col("low") / hundred).alias("low"),
-        (F.col("cents").cast("double") / F.col("pieces").cast("double") / hundred).alias("close"),
-        F.col("pieces").cast("double").alias("volume"),
-        F.concat(F.lit("Series "), F.col("ticker")).alias("name"),
+        "(high + low) / 2 / 100D AS open",
+        "high / 100D AS high",
+        "low / 100D AS low",
+        "cents / pieces / 100D AS close",
+        "cast(pieces AS double) AS volume",
+        "concat('Series ', ticker) AS name",
     )
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series, date, value): two daily series, two monthly, one quarterly and two yearly ones."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.to_date("o_orderdate").alias("day"),
-        cents(F.col("o_totalprice")).alias("cents"),
-        "o_orderpriority",
-        "o_orderstatus",
-    )
+    return raw_readings(spark, sf_dir).where("value IS NOT NULL")
 
-    def total(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("cents")))
 
+def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, date, value): two daily series, two monthly, one quarterly and two yearly ones, NULL where not given."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "to_date(o_orderdate) AS day",
+        "cast(round(o_totalprice * 100) AS bigint) AS cents",
+        "o_orderpriority = '1-URGENT' AS urgent",
+        "o_orderstatus AS status",
+    )
     daily = orders.groupBy("day").agg(
-        F.sum("cents").alias("cents"),
-        F.count(F.lit(1)).alias("n"),
-        total(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
-        total(F.col("o_orderstatus") == "F").alias("filled"),
-        total(F.col("o_orderstatus") == "O").alias("open"),
+        F.expr("sum(cents) AS cents"),
+        F.expr("count(*) AS n"),
+        F.expr("sum(cents) FILTER (WHERE urgent) AS urgent"),
+        F.expr("count_if(urgent) AS n_urgent"),
+        F.expr("sum(cents) FILTER (WHERE status = 'F') AS filled"),
+        F.expr("sum(cents) FILTER (WHERE status = 'O') AS open"),
     )
-    per_day = daily.select(
-        F.col("day").alias("date"),
-        F.array(
-            _reading("zar_usd", F.col("cents").cast("double") / F.col("n").cast("double") / 1e6),
-            _reading("usd_eur", F.try_divide(F.col("urgent").cast("double"), F.col("n_urgent").cast("double")) / 2e7),
-        ).alias("r"),
+    per_day = daily.selectExpr(
+        "day AS date",
+        "cents / n / 1e6D AS zar_usd",
+        "try_divide(urgent, n_urgent) / 2e7D AS usd_eur",
     )
-    month_end = F.last_day("day")
-    monthly = daily.groupBy(month_end.alias("date")).agg(
-        F.sum("cents").alias("cents"), F.sum("n").alias("n"), F.sum("filled").alias("filled"), F.sum("open").alias("open")
+    monthly = daily.groupBy(F.expr("last_day(day) AS date")).agg(
+        F.expr("sum(cents) AS cents"), F.expr("sum(n) AS n"), F.expr("sum(filled) AS filled"), F.expr("sum(open) AS open")
     )
-    month = F.month("date")
-    since_1995 = (F.year("date") - 1995) * 12 + month
-    per_month = monthly.select(
+    per_month = monthly.selectExpr(
         "date",
-        F.array(
-            _reading("tbill_rate", F.lit(5.0) + (F.col("cents") % 700).cast("double") / 100),
-            _reading("cpi_all", F.lit(100.0) + since_1995.cast("double") * 0.4 + (F.col("n") % 7).cast("double") * 0.3),
-            _reading("govt_bond_10y", F.when(F.quarter("date") * 3 == month, F.lit(8.0) + (F.col("cents") % 500).cast("double") / 100)),
-            _reading("exports_value", F.when(month == 12, F.col("filled").cast("double") / 1e6)),
-            _reading("imports_value", F.when(month == 12, F.col("open").cast("double") / 1e6)),
-        ).alias("r"),
+        "5D + cents % 700 / 100D AS tbill_rate",
+        "100D + ((year(date) - 1995) * 12 + month(date)) * 0.4D + n % 7 * 0.3D AS cpi_all",
+        "CASE WHEN quarter(date) * 3 = month(date) THEN 8D + cents % 500 / 100D END AS govt_bond_10y",
+        "CASE WHEN month(date) = 12 THEN filled / 1e6D END AS exports_value",
+        "CASE WHEN month(date) = 12 THEN open / 1e6D END AS imports_value",
     )
-    listed = per_day.unionByName(per_month).select("date", F.explode("r").alias("r")).select("r.series", "date", "r.value")
-    return listed.where(F.col("value").isNotNull())
+    return _long(per_day).unionByName(_long(per_month)).select("series", "date", "value")
 
 
-def _reading(series: str, value: Column) -> Column:
-    return F.struct(F.lit(series).alias("series"), value.cast("double").alias("value"))
+def _long(wide: DataFrame) -> DataFrame:
+    return wide.unpivot("date", [c for c in wide.columns if c != "date"], "series", "value")
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,15 +107,15 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), cents(F.col("o_totalprice")).alias("cents"), "o_orderstatus")
-    sums = orders.groupBy("year").agg(
-        F.sum("cents").alias("cents"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("o_orderstatus") == "O").alias("n_open"),
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "year(o_orderdate) AS year",
+        "cast(round(o_totalprice * 100) AS bigint) AS cents",
+        "o_orderstatus = 'O' AS open",
     )
-    return sums.select(
+    sums = orders.groupBy("year").agg(F.expr("sum(cents) AS cents"), F.expr("count(*) AS n"), F.expr("count_if(open) AS n_open"))
+    return sums.selectExpr(
         "year",
-        ((F.col("cents") % 900).cast("double") / 100 - 2).alias("gdp_growth_pct"),
-        (F.col("cents").cast("double") / F.col("n").cast("double") / 1e6).alias("govt_debt_gdp"),
-        (F.col("n_open").cast("double") / F.col("n").cast("double") * 100).alias("unemployment_pct"),
+        "cents % 900 / 100D - 2 AS gdp_growth_pct",
+        "cents / n / 1e6D AS govt_debt_gdp",
+        "n_open / n * 100 AS unemployment_pct",
     )

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions import fixed_values as fixed
-from panelwright.functions.guarded import pearson, ratio, trailing
+from panelwright.functions.guarded import ratio
+from panelwright.operators.rolling import pair_aggregates, window_pearson, with_window_parts
 
 Keys = Sequence[str]
 SERIES_PER_BLOCK = 256
@@ -26,25 +27,20 @@ def rolling_correlations(
 ) -> DataFrame:
     """Long table of the trailing correlation of ``value`` with each variable that exists; undefined rows are left out.
 
-    All variables are computed in one window pass over the panel and turned into rows afterwards, so each panel row is
-    shuffled once and not once per variable.
+    All variables are computed in one pass over the panel and turned into rows afterwards, so each panel row is
+    shuffled once and not once per variable. The cost per row does not depend on the window length.
     """
     present = [v for v in variables if v in panel.columns]
-    w = trailing(keys, rows)
     named = panel if "name" in panel.columns else panel.withColumn("name", F.col(keys[0]))
     narrow = named.select("date", *keys, "name", value, *present)
-    measured = narrow.select(
-        "date",
-        *keys,
-        "name",
-        *[pearson(F.col(value), F.col(v), min_pairs, w).alias(v) for v in present],
-    )
-    pairs = F.array(*[F.struct(F.lit(v).alias("macro_var"), F.col(v).alias("rolling_corr")) for v in present])
-    return (
-        measured.select("date", *keys, "name", F.explode(pairs).alias("_pair"))
-        .select("date", *keys, "name", "_pair.macro_var", "_pair.rolling_corr")
-        .where(F.col("rolling_corr").isNotNull())
+    aggregates = {}
+    for v in present:
+        aggregates.update(pair_aggregates(v, value, v))
+    measured = with_window_parts(narrow, aggregates, rows, keys).select(
+        "date", *keys, "name", *[F.expr(window_pearson(v, min_pairs)).alias(v) for v in present]
     )
+    long = measured.unpivot(["date", *keys, "name"], present, "macro_var", "rolling_corr")
+    return long.where(F.col("rolling_corr").isNotNull())
 
 
 def rolling_correlation_summary(correlations: DataFrame, keys: Keys = ("ticker",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import fixed_values as fixed
 from panelwright.functions.guarded import growth, number_or_null, ratio, rolling, series_window, trailing
 from panelwright.operators.fill import capped_ffill
+from panelwright.operators.rolling import window_max, window_min, window_total, with_window_parts
 
 Keys = Sequence[str]
 
@@ -48,15 +49,14 @@ def volatility(prices: DataFrame, keys: Keys = ("ticker",)) -> DataFrame:
 
 def year_range(prices: DataFrame, keys: Keys = ("ticker",)) -> DataFrame:
     """Highest and lowest close over 252 rows and the distance from the high."""
-    w = trailing(keys, fixed.YEAR_ROWS)
-    close = F.col("close")
-    ranged = prices.withColumns(
-        {
-            "high_52w": rolling(F.max(close), close, w, fixed.YEAR_MIN),
-            "low_52w": rolling(F.min(close), close, w, fixed.YEAR_MIN),
-        }
+    parts = {"n": "count(close)", "high": "max(close)", "low": "min(close)"}
+    enough = F.expr(f"{window_total('n')} >= {fixed.YEAR_MIN}")
+    ranged = with_window_parts(prices, parts, fixed.YEAR_ROWS, keys).select(
+        *prices.columns,
+        F.when(enough, F.expr(window_max("high"))).alias("high_52w"),
+        F.when(enough, F.expr(window_min("low"))).alias("low_52w"),
     )
-    return ranged.withColumn("pct_from_52w_high", ratio(close - F.col("high_52w"), F.col("high_52w")))
+    return ranged.withColumn("pct_from_52w_high", F.expr("try_divide(close - high_52w, high_52w)"))
 
 
 def calendar_features(df: DataFrame, order: str = "date") -> DataFrame:
@@ -74,7 +74,7 @@ def calendar_features(df: DataFrame, order: str = "date") -> DataFrame:
 def process_prices(prices: DataFrame, keys: Keys = ("ticker",), pad: bool = False) -> DataFrame:
     """Processed price table: numeric columns, filled close, and all feature columns.
 
-    All windows share one hash partitioning and one sort by (key, date).
+    All windows share one hash partitioning by key.
     """
     filled = capped_ffill(coerce_numeric(prices), ["close"], fixed.PRICE_FILL_LIMIT, keys)
     featured = year_range(volatility(daily_returns(filled, keys, pad), keys), keys)

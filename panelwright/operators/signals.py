@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import fixed_values as fixed
 from panelwright.functions.guarded import growth, ratio, rolling, series_window, standard_score, trailing
+from panelwright.operators.rolling import window_total, with_window_parts
 
 Keys = Sequence[str]
 RSI_BLOCK_ROWS = 1024
@@ -86,8 +87,12 @@ def moving_averages(panel: DataFrame, keys: Keys = ("ticker",)) -> DataFrame:
     """50-row and 200-row mean of the close, and their ratio."""
     close = F.col("close")
     fast = rolling(F.avg(close), close, trailing(keys, fixed.FAST_MA_ROWS), fixed.FAST_MA_MIN)
-    slow = rolling(F.avg(close), close, trailing(keys, fixed.SLOW_MA_ROWS), fixed.SLOW_MA_MIN)
-    averaged = panel.withColumns({"ma_50": fast, "ma_200": slow})
+    parts = {"n": "count(close)", "total": "sum(close)"}
+    n, total = window_total("n"), window_total("total")
+    slow = F.expr(f"CASE WHEN {n} >= {fixed.SLOW_MA_MIN} THEN {total} / {n} END")
+    averaged = with_window_parts(panel.withColumn("ma_50", fast), parts, fixed.SLOW_MA_ROWS, keys).select(
+        *panel.columns, "ma_50", slow.alias("ma_200")
+    )
     return averaged.withColumn("ma_ratio_50_200", ratio(F.col("ma_50"), F.col("ma_200")))
 
 
@@ -113,46 +118,44 @@ def rsi(
     """
     w = series_window(keys)
     decay = (rows - 1) / rows
-    close = F.col("close")
-    change = close - F.lag(close, 1).over(w)
     at = F.col(position) if position else F.row_number().over(w) - 1
-    moved = panel.withColumns({"_at": at, "_change": change})
+    moved = panel.withColumns({"_at": at, "_change": F.col("close") - F.lag("close", 1).over(w)})
     moved = moved.withColumns(
         {
-            "_block": F.floor(F.col("_at") / RSI_BLOCK_ROWS),
-            "_slot": F.col("_at") % RSI_BLOCK_ROWS,
+            "_block": F.expr(f"_at div {RSI_BLOCK_ROWS}"),
+            "_slot": F.expr(f"_at % {RSI_BLOCK_ROWS}"),
             "_known": F.count("_change").over(w.rowsBetween(W.unboundedPreceding, 0)),
         }
     )
-    weight = F.pow(F.lit(decay), -F.col("_slot"))
     inside = W.partitionBy(*keys, "_block").orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
+    weight = f"pow({decay!r}D, -_slot)"
     summed = moved.withColumns(
         {
-            "_up": F.sum(F.coalesce(F.greatest(F.col("_change"), F.lit(0.0)), F.lit(0.0)) * weight).over(inside),
-            "_down": F.sum(F.coalesce(F.greatest(-F.col("_change"), F.lit(0.0)), F.lit(0.0)) * weight).over(inside),
+            "_up": F.expr(f"sum(coalesce(greatest(_change, 0D), 0D) * {weight})").over(inside),
+            "_down": F.expr(f"sum(coalesce(greatest(-_change, 0D), 0D) * {weight})").over(inside),
         }
     )
-    closing = (F.col("_slot") == RSI_BLOCK_ROWS - 1) & (F.col("_up") + F.col("_down") > 0)
+    closing = F.expr(
+        f"CASE WHEN _slot = {RSI_BLOCK_ROWS - 1} AND _up + _down > 0 THEN named_struct('b', _block, 'u', _up, 'd', _down) END"
+    )
     earlier = W.partitionBy(*keys).orderBy("_block", "_slot").rowsBetween(W.unboundedPreceding, -1)
-    carried = summed.withColumn(
-        "_last", F.last(F.when(closing, F.struct("_block", "_up", "_down")), ignorenulls=True).over(earlier)
+    carried = summed.withColumn("_closing", closing)
+    carried = carried.withColumn("_last", F.last("_closing", ignorenulls=True).over(earlier))
+    # A block total is scaled to slot 0 of its own block; seen from a later block it has decayed by 1024 rows for each.
+    faded = f"pow({decay!r}D, (_block - _last.b) * {RSI_BLOCK_ROWS})"
+    means = carried.withColumns(
+        {
+            "_up": F.expr(f"_up + coalesce(_last.u * {faded}, 0D)"),
+            "_down": F.expr(f"_down + coalesce(_last.d * {faded}, 0D)"),
+        }
     )
-    return _rsi_from_sums(carried, decay, rows, column).select(*panel.columns, column)
-
-
-def _rsi_from_sums(df: DataFrame, decay: float, rows: int, column: str) -> DataFrame:
-    # Block totals are scaled to slot 0 of their own block; one block further on they have decayed by 1024 rows.
-    since = (F.col("_block") - F.col("_last._block")) * RSI_BLOCK_ROWS
-    faded = F.pow(F.lit(decay), since.cast("double"))
-    up = F.col("_up") + F.coalesce(F.col("_last._up") * faded, F.lit(0.0))
-    down = F.col("_down") + F.coalesce(F.col("_last._down") * faded, F.lit(0.0))
-    mixed = F.lit(100.0) - ratio(F.lit(100.0), F.lit(1.0) + ratio(up, down))
-    index = (
-        F.when((down == 0) & (up > 0), F.lit(100.0))
-        .when((up == 0) & (down > 0), F.lit(0.0))
-        .when((up > 0) & (down > 0), mixed)
+    index = F.expr(
+        f"""CASE WHEN _known < {rows} THEN NULL
+                 WHEN _down = 0 AND _up > 0 THEN 100D
+                 WHEN _up = 0 AND _down > 0 THEN 0D
+                 WHEN _up > 0 AND _down > 0 THEN 100D - 100D / (1D + _up / _down) END"""
     )
-    return df.withColumn(column, F.when(F.col("_known") >= rows, index))
+    return means.select(*panel.columns, index.alias(column))
 
 
 def compute_signals(master: DataFrame, keys: Keys = ("ticker",)) -> DataFrame:
