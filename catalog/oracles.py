@@ -486,7 +486,9 @@ ORACLES: dict[str, str] = {
         "matrix",
     ),
     "next_regime": with_ctes(
-        f"""SELECT "to", {r('probability')} FROM matrix WHERE "from" = 'HIKING_LOW_INFLATION'""", "matrix"
+        f"""SELECT "to", {r('probability')} FROM matrix WHERE "from" =
+              (SELECT composite_regime FROM regimes GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)""",
+        "matrix",
     ),
     "regime_confidence": with_ctes(
         """SELECT regime, CAST(historical_occurrences AS BIGINT) AS historical_occurrences, reliable,
@@ -509,8 +511,8 @@ ORACLES: dict[str, str] = {
                round(CAST(count(p."from") AS DOUBLE) / nullif(sum(count(p."from")) OVER (PARTITION BY a.s), 0), 6) AS probability
         FROM states a CROSS JOIN states b LEFT JOIN pairs p ON p."from" = a.s AND p."to" = b.s GROUP BY a.s, b.s""",
     "tick_moving_averages": with_ctes(
-        """SELECT event_id, round(CASE WHEN count(close) OVER f >= 30 THEN avg(close) OVER f END, 6) AS ma_50,
-                  round(CASE WHEN count(close) OVER s >= 100 THEN avg(close) OVER s END, 6) AS ma_200
+        """SELECT event_id, round(CASE WHEN count(close) OVER f >= 30 THEN avg(close) OVER f END, 9) AS ma_50,
+                  round(CASE WHEN count(close) OVER s >= 100 THEN avg(close) OVER s END, 9) AS ma_200
            FROM ticks WINDOW f AS (PARTITION BY ticker ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW),
                              s AS (PARTITION BY ticker ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""",
         "ticks",
@@ -615,8 +617,9 @@ ORACLES: dict[str, str] = {
         "results",
     ),
     "cumulative_excess": with_ctes(
-        """SELECT rebalance_date, round(product(1 + net_excess_return) OVER w - 1, 6) AS cumulative_net_excess,
-                  round(product(1 + excess_return) OVER w - 1, 6) AS cumulative_gross_excess
+        """SELECT rebalance_date,
+                  CAST(printf('%.8e', product(1 + net_excess_return) OVER w - 1) AS DOUBLE) AS cumulative_net_excess,
+                  CAST(printf('%.8e', product(1 + excess_return) OVER w - 1) AS DOUBLE) AS cumulative_gross_excess
            FROM results WINDOW w AS (ORDER BY rebalance_date)""",
         "results",
     ),
@@ -670,4 +673,33 @@ ORACLES: dict[str, str] = {
                   count(DISTINCT outperformed) = 2 AS trainable FROM labels21""",
         "labels21",
     ),
+    "enriched_panel": with_ctes(
+        f"""SELECT p.date, p.ticker, p.open, p.high, p.low, p.close, p.volume, p.name, {r('daily_return', 'log_return')},
+                   round(CASE WHEN count(log_return) OVER v >= 10 THEN stddev_samp(log_return) OVER v END * sqrt(252), 6)
+                     AS volatility_21d,
+                   CASE WHEN count(p.close) OVER y >= 50 THEN max(p.close) OVER y END AS high_52w,
+                   CASE WHEN count(p.close) OVER y >= 50 THEN min(p.close) OVER y END AS low_52w,
+                   round(CASE WHEN count(p.close) OVER y >= 50 THEN (p.close - max(p.close) OVER y) / max(p.close) OVER y END, 6)
+                     AS pct_from_52w_high,
+                   CAST(year(p.date) AS INTEGER) AS year, CAST(month(p.date) AS INTEGER) AS month,
+                   CAST(quarter(p.date) AS INTEGER) AS quarter, CAST(isodow(p.date) - 1 AS INTEGER) AS day_of_week,
+                   {", ".join(f"round(m.{c}, 6) AS {c}" for c in (*MACRO_SERIES, *DERIVED))},
+                   {r('gdp_growth_pct', 'govt_debt_gdp', 'unemployment_pct')},
+                   {r(*MOMENTUM_ROWS, *[f'{c}_z' for c in MOMENTUM_ROWS], 'momentum_score')},
+                   round(CASE WHEN count(p.close) OVER z >= 10 AND min(p.close) OVER z < max(p.close) OVER z
+                              THEN (p.close - avg(p.close) OVER z) / stddev_samp(p.close) OVER z END, 6) AS price_z_20d,
+                   {r('ma_50', 'ma_200', places=4)}, {r('ma_ratio_50_200', 'rsi_14')}, trend_signal,
+                   rate_regime, inflation_regime, currency_regime, composite_regime,
+                   CAST(regime_duration AS INTEGER) AS regime_duration
+            FROM returns p JOIN score s ON s.ticker = p.ticker AND s.date = p.date
+            JOIN averages a ON a.ticker = p.ticker AND a.date = p.date
+            JOIN rsi r ON r.ticker = p.ticker AND r.date = p.date
+            ASOF LEFT JOIN macro m ON p.date >= m.date
+            ASOF LEFT JOIN regimes g ON p.date >= g.date
+            ASOF LEFT JOIN (SELECT *, make_date(year, 1, 1) AS start FROM annual) n ON p.date >= n.start
+            WINDOW v AS (PARTITION BY p.ticker ORDER BY p.date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW),
+                   y AS (PARTITION BY p.ticker ORDER BY p.date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW),
+                   z AS (PARTITION BY p.ticker ORDER BY p.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+        "returns", "score", "averages", "rsi", "macro", "regimes", "annual",
+    ),
 }

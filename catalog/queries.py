@@ -410,8 +410,11 @@ def transition_matrix_wide(s, d):
 
 @query
 def next_regime(s, d):
-    matrix = markov.fit_transitions(regime_table(s, d))
-    return rounded(markov.next_regime_probabilities(matrix, "HIKING_LOW_INFLATION"), "probability")
+    """What followed the most frequent regime."""
+    table = regime_table(s, d)
+    counted = regimes.months_per_regime(table)
+    common = counted.agg(F.max_by("regime", F.struct("total_months", "regime"))).scalar()
+    return rounded(markov.next_regime_probabilities(markov.fit_transitions(table), common), "probability")
 
 
 @query
@@ -459,7 +462,7 @@ def along_ticks(s: SparkSession, d: str, transform, back: int = 0, ahead: int =
 @query
 def tick_moving_averages(s, d):
     out = along_ticks(s, d, signals.moving_averages, back=199).select("event_id", "ma_50", "ma_200")
-    return rounded(out, "ma_50", "ma_200")
+    return rounded(out, "ma_50", "ma_200", places=9)
 
 
 @query
@@ -570,8 +573,13 @@ def period_results(s, d):
 
 @query
 def cumulative_excess(s, d):
-    both = ["cumulative_net_excess", "cumulative_gross_excess"]
-    return rounded(backtest.cumulative_excess(momentum_results(s, d)).select("rebalance_date", *both), *both)
+    """Compounding reaches any order of magnitude, so eight decimals of the leading digit are compared."""
+    out = backtest.cumulative_excess(momentum_results(s, d))
+    return out.selectExpr(
+        "rebalance_date",
+        "cast(format_string('%.8e', cumulative_net_excess) AS double) AS cumulative_net_excess",
+        "cast(format_string('%.8e', cumulative_gross_excess) AS double) AS cumulative_gross_excess",
+    )
 
 
 @query
@@ -633,4 +641,8 @@ def walk_forward(s, d):
 @query
 def enriched_panel(s, d):
     """The most enriched panel of a full refresh: processed prices, macro, annual, signals and regimes."""
-    return refresh.build_tables(inputs.prices(s, d), inputs.macro(s, d), inputs.annual(s, d))["panel_regimes"]
+    tables = refresh.build_tables(inputs.prices(s, d), inputs.macro(s, d), inputs.annual(s, d))
+    panel = tables["panel_regimes"]
+    exact = {*fixed.PRICE_COLUMNS, "high_52w", "low_52w", "ma_50", "ma_200"}
+    loose = [f.name for f in panel.schema.fields if f.dataType.typeName() == "double" and f.name not in exact]
+    return rounded(rounded(panel, *loose), "ma_50", "ma_200", places=4)

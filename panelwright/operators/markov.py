@@ -74,15 +74,16 @@ def wide_matrix(matrix: DataFrame, states: Sequence[str]) -> DataFrame:
     return matrix.groupBy("from").pivot("to", list(states)).agg(F.first("probability")).orderBy("from")
 
 
-def next_regime_probabilities(matrix: DataFrame, current: str) -> DataFrame:
+def next_regime_probabilities(matrix: DataFrame, current: str | Column) -> DataFrame:
     """Distribution over the next state, most likely first; fails when the state is unknown or was never left.
 
     The check runs inside the query, on the few rows of one from-state.
     """
-    mine = matrix.where(F.col("from") == F.lit(current))
+    state = F.lit(current) if isinstance(current, str) else current
+    mine = matrix.where(F.col("from") == state)
     seen = mine.agg(F.max("occurrences").alias("_seen")).scalar()
-    problem = F.when(seen.isNull(), F.raise_error(F.lit(f"'{current}' does not occur in the history"))).when(
-        seen == 0, F.raise_error(F.lit(f"'{current}' occurs only as the last observation, no transitions known"))
+    problem = F.when(seen.isNull(), F.raise_error(F.concat(state, F.lit(" does not occur in the history")))).when(
+        seen == 0, F.raise_error(F.concat(state, F.lit(" occurs only as the last observation, no transitions known")))
     )
     # A one-row range carries the check, so that it also runs when no matrix row matches.
     spark = matrix.sparkSession

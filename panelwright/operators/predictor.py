@@ -17,6 +17,7 @@ from panelwright.operators.regime_returns import forward_return
 Keys = Sequence[str]
 REGIME = "composite_regime"
 LABEL = "outperformed"
+SOLVER_TOLERANCE = 1e-10
 
 
 def outperformance_label(
@@ -128,39 +129,35 @@ def fit_model(
 
     Spark's solver minimises the mean loss, so the penalty 1/(2c) on the summed loss becomes 1/(c n).
     """
-    usable = training_rows(train, features)
-    vocabulary = regime_vocabulary(usable)
-    matrix = keep_for_reuse(
-        usable.select(
-            F.col(LABEL).cast("double").alias("_label"),
-            *[col.alias(n) for n, col in feature_columns(features, vocabulary).items()],
-        )
-    )
+    rows = keep_for_reuse(training_rows(train, features).select(*features, REGIME, F.col(LABEL).cast("double").alias(LABEL)))
     try:
-        names = [n for n in matrix.columns if n != "_label"]
-        sizes = matrix.agg(F.count(F.lit(1)).alias("n"), F.avg("_label").alias("rate")).first()
+        vocabulary = regime_vocabulary(rows)
+        columns = feature_columns(features, vocabulary)
+        names = list(columns)
+        sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("rate")).first()
         if not sizes["n"] or sizes["rate"] in (0.0, 1.0):
             raise ValueError("training rows must contain both classes")
+        matrix = rows.select(LABEL, *[columns[n].alias(n) for n in names])
         scaling = {r["feature"]: r for r in standardisation(matrix, names).collect()}
         means = [scaling[n]["mean"] for n in names]
         scales = [scaling[n]["scale"] for n in names]
         scaled = matrix.select(
-            "_label",
+            LABEL,
             *[((F.col(f"`{n}`") - m) / s).alias(f"z{k}") for k, (n, m, s) in enumerate(zip(names, means, scales))],
         )
         assembler = VectorAssembler(inputCols=[f"z{k}" for k in range(len(names))], outputCol="_features")
         solver = LogisticRegression(
             featuresCol="_features",
-            labelCol="_label",
+            labelCol=LABEL,
             regParam=1.0 / (c * sizes["n"]),
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iter,
-            tol=1e-12,
+            tol=SOLVER_TOLERANCE,
         )
         fitted = solver.fit(assembler.transform(scaled))
     finally:
-        matrix.unpersist()
+        rows.unpersist()
     return RegimeModel(
         tuple(features),
         tuple(vocabulary),

@@ -24,6 +24,10 @@ from panelwright.operators.predictor import LABEL, feature_columns, logistic, re
 
 MAX_ITERATIONS = 60
 GRADIENT_TOLERANCE = 1e-7
+RESULT_SCHEMA = (
+    "rebalance_date date, picked_tickers string, portfolio_return double, alsi_return double, "
+    "excess_return double, net_excess_return double, beat_alsi boolean"
+)
 
 
 @dataclass(frozen=True)
@@ -125,7 +129,7 @@ def fit_dated_models(
     names = list(columns)
     cutoffs = F.array(*[F.lit(r["cutoff"]) for r in schedule])
     # First date whose training set contains the day; the map has one row per calendar day.
-    periods = panel.select("date").distinct().withColumn(
+    periods = usable.select("date").distinct().withColumn(
         "_period", F.size(F.filter(cutoffs, lambda cut: cut <= F.col("date")))
     )
     rows = keep_for_reuse(
@@ -216,9 +220,15 @@ def walk_forward(
 
     Dates without a fittable model or with fewer than ``top_n`` scored series are left out.
     """
-    models = fit_dated_models(panel, rebalance_dates(panel, min_train_months, embargo_rows), features)
-    if models is None:
-        empty = panel.where(F.lit(False)).withColumn("predicted_proba", F.lit(None).cast("double"))
-        return period_results(top_picks(empty, "predicted_proba", top_n, index_ticker), cost_bps)
-    scored = score_on_dates(panel, models, features)
-    return period_results(top_picks(scored, "predicted_proba", top_n, index_ticker), cost_bps)
+    needed = ["date", "ticker", *features, "composite_regime", LABEL, "fwd_return_21d", "alsi_fwd_return_21d"]
+    rows = keep_for_reuse(panel.select(*needed))
+    try:
+        models = fit_dated_models(rows, rebalance_dates(rows, min_train_months, embargo_rows), features)
+        if models is None:
+            return panel.sparkSession.createDataFrame([], RESULT_SCHEMA)
+        picks = top_picks(score_on_dates(rows, models, features), "predicted_proba", top_n, index_ticker)
+        # One row per month: brought in here, so that the kept rows can be let go.
+        results = period_results(picks, cost_bps).collect()
+    finally:
+        rows.unpersist()
+    return panel.sparkSession.createDataFrame(results, RESULT_SCHEMA)
