@@ -436,9 +436,7 @@ def markov_report(s, d):
 def event_transitions(s, d):
     """Transitions between event types along each user's events, a long sequence cut into segments."""
     history = inputs.table(s, d, "events").select("user_id", "event_id", "event_type")
-    pairs = markov.transition_pairs(
-        history, "event_type", "event_id", ["user_id"], F.floor(F.col("event_id") / 1_000_000)
-    )
+    pairs = markov.transition_pairs(history, "event_type", "event_id", ["user_id"], rows_per_segment=100_000)
     return rounded(markov.transition_matrix(pairs.select("from", "to")), "probability")
 
 
@@ -454,9 +452,7 @@ def along_ticks(s: SparkSession, d: str, transform, back: int = 0, ahead: int =
     def step(rows: DataFrame, keys) -> DataFrame:
         return transform(rows.withColumn("date", F.col(segments.POSITION)), keys)
 
-    return segments.in_segments(
-        ticks(s, d), step, ["ticker"], ["ts", "event_id"], F.expr("date_trunc('HOUR', ts)"), back, ahead, 10_000
-    )
+    return segments.in_segments(ticks(s, d), step, ["ticker"], ["ts", "event_id"], back, ahead, 10_000)
 
 
 @query

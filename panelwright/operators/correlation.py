@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions import fixed_values as fixed
@@ -90,13 +91,12 @@ def correlation_matrix(panel: DataFrame, value: str = "daily_return", key: str =
         .groupBy("date", F.col(key).alias("_key"))
         .agg(F.avg(value).alias("_value"))
     )
-    means = clean.groupBy("_key").agg(F.avg("_value").alias("_mean"))
-    blocks = clean.select(
-        F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("_key") / SERIES_PER_BLOCK)).alias("_n")
+    # The number of series is counted without the values, so that only the key column is read for it.
+    blocks = panel.select(
+        F.greatest(F.lit(1), F.ceil(F.approx_count_distinct(key) / SERIES_PER_BLOCK)).alias("_n")
     ).scalar()
     centred = (
-        clean.join(means, "_key")
-        .withColumn("_value", F.col("_value") - F.col("_mean"))
+        clean.withColumn("_value", F.col("_value") - F.avg("_value").over(W.partitionBy("_key")))
         .withColumn("_blocks", blocks)
         .withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")))
     )

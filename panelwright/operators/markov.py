@@ -21,19 +21,22 @@ def transition_pairs(
     state: str = "composite_regime",
     order: str = "date",
     by: Keys = (),
-    bucket: Column | None = None,
+    rows_per_segment: int | None = None,
 ) -> DataFrame:
     """(from, to) of consecutive rows; ``to`` is NULL on the last row of a sequence.
 
-    Monthly regime tables are short. For a long sequence ordered by something finer pass ``bucket``, a coarse value
-    that never decreases along ``order``; the sequence is then processed in segments.
+    Monthly regime tables are short. A sequence ordered by something finer may be of any length; with
+    ``rows_per_segment`` it is processed in segments.
     """
     known = history.where(F.col(state).isNotNull()).select(*by, order, F.col(state).alias("from"))
 
     def step(rows: DataFrame, keys: Keys) -> DataFrame:
         return rows.withColumn("to", F.lead("from", 1).over(W.partitionBy(*keys).orderBy(order)))
 
-    paired = step(known, by) if bucket is None else in_segments(known, step, by, [order], bucket, ahead=1)
+    if rows_per_segment is None:
+        paired = step(known, by)
+    else:
+        paired = in_segments(known, step, by, [order], ahead=1, rows_per_segment=rows_per_segment)
     return paired.select(*by, "from", "to")
 
 
@@ -64,9 +67,9 @@ def fit_transitions(
     state: str = "composite_regime",
     order: str = "date",
     by: Keys = (),
-    bucket: Column | None = None,
+    rows_per_segment: int | None = None,
 ) -> DataFrame:
-    return transition_matrix(transition_pairs(history, state, order, by, bucket), by)
+    return transition_matrix(transition_pairs(history, state, order, by, rows_per_segment), by)
 
 
 def wide_matrix(matrix: DataFrame, states: Sequence[str]) -> DataFrame:

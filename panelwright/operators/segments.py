@@ -2,40 +2,50 @@
 
 A plain ``Window.partitionBy(key)`` gives one key to one task. That is fine for daily panels: with at most one row per
 (key, day), a key never holds more rows than the calendar has days. For series ordered by anything finer (timestamps,
-sequence numbers) a single key may hold a large share of the table, so these helpers cut each series into segments of a
-fixed number of rows and hand every segment the few rows before and after it that its windows reach.
+sequence numbers) a single key, or a single moment of it, may hold a large share of the table. These helpers cut each
+series into segments of a fixed number of rows and hand every segment the few rows before and after it that its windows
+reach.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.functions.lineage import keep_for_reuse
+
 POSITION = "_position"
 SEGMENT = "_segment"
-BUCKET = "_bucket"
 
 
-def with_positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+def with_positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add the 0-based position of each row within its series, without gathering a series anywhere.
 
-    ``bucket`` must never decrease along ``order`` (for instance the hour of a timestamp). Rows are numbered inside each
-    (key, bucket); running totals of the bucket sizes, one row per (key, bucket), supply the offset. ``order`` must be
-    unique within a key.
+    Rows are range-partitioned by (key, order), which splits a long series, or a burst within it, over as many
+    partitions as it fills. Inside a sorted partition the running row id counts the rows; the offset of a partition
+    comes from the sizes of the earlier partitions of the same key. ``order`` must be unique within a key.
+
+    Range bounds come from a sample, so the sorted rows are kept (see ``keep_for_reuse``): both uses below must see the
+    same partitions.
     """
-    tagged = rows.withColumn(BUCKET, bucket)
-    inside = W.partitionBy(*keys, BUCKET).orderBy(*order)
-    before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    sizes = tagged.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select(*keys, BUCKET, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    numbered = tagged.withColumn("_row", F.row_number().over(inside))
-    return (
-        numbered.join(offsets, [*keys, BUCKET])
-        .withColumn(POSITION, F.col("_offset") + F.col("_row") - 1)
-        .drop(BUCKET, "_row", "_offset")
+    by_range = [F.col(c) for c in (*keys, *order)]
+    ranged = rows.repartitionByRange(*by_range).sortWithinPartitions(*by_range)
+    tagged = keep_for_reuse(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    # The upper bits of the id are the partition, the lower 33 the row within it.
+    part = F.shiftrightunsigned("_id", 33)
+    sizes = tagged.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], part.alias("_part")).agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size")
+    )
+    earlier = W.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    same = part == F.col("_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return tagged.join(offsets, same).select(
+        *rows.columns, (F.col("_offset") + F.col("_id") - F.col("_first")).alias(POSITION)
     )
 
 
@@ -44,7 +54,6 @@ def in_segments(
     transform: Callable[[DataFrame, Sequence[str]], DataFrame],
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
     back: int = 0,
     ahead: int = 0,
     rows_per_segment: int = 100_000,
@@ -58,7 +67,7 @@ def in_segments(
     position = F.col(POSITION)
     first = F.floor((position - ahead) / size)
     last = F.floor((position + back) / size)
-    spread = with_positions(rows, keys, order, bucket).withColumn(
+    spread = with_positions(rows, keys, order).withColumn(
         SEGMENT, F.explode(F.sequence(F.greatest(first, F.lit(0)), last))
     )
     done = transform(spread, [*keys, SEGMENT])

@@ -97,5 +97,5 @@ def test_long_sequence_in_segments(spark):
     states = [("A", "B", "C")[(k * k) % 3] for k in range(400)]
     df = spark.createDataFrame(list(enumerate(states)), "at int, state string")
     whole = markov.fit_transitions(df, "state", "at")
-    cut = markov.fit_transitions(df, "state", "at", bucket=F.floor(F.col("at") / 30))
+    cut = markov.fit_transitions(df, "state", "at", rows_per_segment=30)
     assert cells(whole) == cells(cut)

@@ -142,7 +142,7 @@ def test_segments_give_the_same_result_as_whole_series(spark):
     def step(frame, keys):
         return signals.moving_averages(frame.withColumn("date", F.col(segments.POSITION)), keys)
 
-    cut = segments.in_segments(df, step, ["ticker"], ["seq"], F.floor(F.col("seq") / 50), back=199, rows_per_segment=70)
+    cut = segments.in_segments(df, step, ["ticker"], ["seq"], back=199, rows_per_segment=70)
     whole = signals.moving_averages(df.withColumn("date", F.col("seq")))
     a, b = (x.orderBy("seq").select("seq", "ma_50", "ma_200").collect() for x in (cut, whole))
     assert [r["seq"] for r in a] == list(range(900))
@@ -151,8 +151,8 @@ def test_segments_give_the_same_result_as_whole_series(spark):
 
 
 def test_positions_follow_the_order_within_each_key(spark):
-    df = spark.createDataFrame([("A", k) for k in (5, 1, 9, 30, 12)] + [("B", 7)], "key string, seq int")
-    out = segments.with_positions(df, ["key"], ["seq"], F.floor(F.col("seq") / 10))
+    df = spark.createDataFrame([("A", k) for k in (5, 1, 9, 30, 12)] + [("B", 7), (None, 3)], "key string, seq int")
+    out = segments.with_positions(df, ["key"], ["seq"])
     assert [tuple(r) for r in out.select("key", "seq", segments.POSITION).orderBy("key", "seq").collect()] == [
-        ("A", 1, 0), ("A", 5, 1), ("A", 9, 2), ("A", 12, 3), ("A", 30, 4), ("B", 7, 0),
+        (None, 3, 0), ("A", 1, 0), ("A", 5, 1), ("A", 9, 2), ("A", 12, 3), ("A", 30, 4), ("B", 7, 0),
     ]
