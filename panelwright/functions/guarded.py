@@ -18,6 +18,14 @@ def growth(now: Column, earlier: Column) -> Column:
     return ratio(now, earlier) - F.lit(1.0)
 
 
+def padded(value: Column, keys: Sequence[str], pad: bool, order: str = "date") -> Column:
+    """The value itself, or with ``pad`` the last known value of the series up to this row."""
+    if not pad:
+        return value
+    so_far = series_window(keys, order).rowsBetween(W.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(so_far)
+
+
 def series_window(keys: Sequence[str], order: str = "date") -> WindowSpec:
     return W.partitionBy(*keys).orderBy(order)
 

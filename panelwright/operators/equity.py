@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions import fixed_values as fixed
-from panelwright.functions.guarded import growth, number_or_null, ratio, rolling, series_window, trailing
+from panelwright.functions.guarded import growth, number_or_null, padded, ratio, rolling, series_window, trailing
 from panelwright.operators.fill import capped_ffill
 from panelwright.operators.rolling import window_max, window_min, window_total, with_window_parts
 
@@ -21,18 +20,12 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str] = fixed.PRICE_COLUMNS)
     return df.withColumns({c: number_or_null(F.col(c)) for c in columns if c in df.columns})
 
 
-def _base(close: Column, keys: Keys, pad: bool) -> Column:
-    if not pad:
-        return close
-    return F.last(close, ignorenulls=True).over(series_window(keys).rowsBetween(W.unboundedPreceding, 0))
-
-
 def daily_returns(prices: DataFrame, keys: Keys = ("ticker",), pad: bool = False) -> DataFrame:
     """Simple and log return against the previous row. ``pad`` lets the simple return look across gaps."""
     w = series_window(keys)
     close = F.col("close")
-    padded = prices.withColumn("_base", _base(close, keys, pad))
-    return padded.withColumns(
+    based = prices.withColumn("_base", padded(close, keys, pad))
+    return based.withColumns(
         {
             "daily_return": growth(F.col("_base"), F.lag("_base", 1).over(w)),
             "log_return": F.ln(ratio(close, F.lag(close, 1).over(w))),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions import fixed_values as fixed
-from panelwright.functions.guarded import growth, series_window
+from panelwright.functions.guarded import growth, padded, series_window
 from panelwright.operators.fill import capped_ffill
 
 Keys = Sequence[str]
@@ -47,18 +47,18 @@ def monthly_macro(
     return capped_ffill(dense, series, fill_limit, by)
 
 
-def macro_changes(monthly: DataFrame, by: Keys = ()) -> DataFrame:
-    """Month-on-month FX change, CPI year on year, real rate and curve spread, for the columns that exist."""
+def macro_changes(monthly: DataFrame, by: Keys = (), pad: bool = False) -> DataFrame:
+    """Month-on-month FX change, CPI year on year, real rate and curve spread, for the columns that exist.
+
+    ``pad`` lets the changes look across gaps that outlasted the fill.
+    """
     w = series_window(by)
     have = set(monthly.columns)
     out = monthly
-    changes = {}
-    if "zar_usd" in have:
-        changes["zar_usd_mom_pct"] = growth(F.col("zar_usd"), F.lag("zar_usd", 1).over(w)) * 100
-    if "cpi_all" in have:
-        changes["cpi_yoy_pct"] = growth(F.col("cpi_all"), F.lag("cpi_all", 12).over(w)) * 100
-    if changes:
-        out = out.withColumns(changes)
+    for name, source, months in (("zar_usd_mom_pct", "zar_usd", 1), ("cpi_yoy_pct", "cpi_all", 12)):
+        if source in have:
+            based = out.withColumn("_base", padded(F.col(source), by, pad))
+            out = based.withColumn(name, growth(F.col("_base"), F.lag("_base", months).over(w)) * 100).drop("_base")
     if {"tbill_rate", "cpi_all"} <= have:
         out = out.withColumn("real_tbill_rate", F.col("tbill_rate") - F.col("cpi_yoy_pct"))
     if {"govt_bond_10y", "tbill_rate"} <= have:
@@ -66,5 +66,5 @@ def macro_changes(monthly: DataFrame, by: Keys = ()) -> DataFrame:
     return out
 
 
-def process_macro(raw: DataFrame, by: Keys = ()) -> DataFrame:
-    return macro_changes(monthly_macro(raw, by=by), by)
+def process_macro(raw: DataFrame, by: Keys = (), pad: bool = False) -> DataFrame:
+    return macro_changes(monthly_macro(raw, by=by), by, pad)

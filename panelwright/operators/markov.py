@@ -68,8 +68,13 @@ def fit_transitions(
     order: str = "date",
     by: Keys = (),
     rows_per_segment: int | None = None,
+    drop_unknown: bool = False,
 ) -> DataFrame:
-    return transition_matrix(transition_pairs(history, state, order, by, rows_per_segment), by)
+    """Transition matrix of a regime table. ``drop_unknown`` leaves out months with a missing or unknown label part."""
+    known = history
+    if drop_unknown:
+        known = history.where(~F.col(state).rlike("(^|_)(nan|UNKNOWN)(_|$)"))
+    return transition_matrix(transition_pairs(known, state, order, by, rows_per_segment), by)
 
 
 def wide_matrix(matrix: DataFrame, states: Sequence[str]) -> DataFrame:

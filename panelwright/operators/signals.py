@@ -9,31 +9,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions import fixed_values as fixed
-from panelwright.functions.guarded import growth, ratio, rolling, series_window, standard_score, trailing
+from panelwright.functions.guarded import growth, padded, ratio, rolling, series_window, standard_score, trailing
 from panelwright.operators.rolling import window_total, with_window_parts
 
 Keys = Sequence[str]
 RSI_BLOCK_ROWS = 1024
 
 
-def momentum(panel: DataFrame, keys: Keys = ("ticker",), windows: dict[str, int] = fixed.MOMENTUM_ROWS) -> DataFrame:
+def momentum(
+    panel: DataFrame, keys: Keys = ("ticker",), windows: dict[str, int] = fixed.MOMENTUM_ROWS, pad: bool = False
+) -> DataFrame:
     """Return over n rows ending at the previous row, so that the latest day never enters."""
     w = series_window(keys)
-    close = F.col("close")
-    recent = F.lag(close, 1).over(w)
-    return panel.withColumns({c: growth(recent, F.lag(close, 1 + n).over(w)) for c, n in windows.items()})
+    based = panel.withColumn("_base", padded(F.col("close"), keys, pad))
+    recent = F.lag("_base", 1).over(w)
+    moved = based.withColumns({c: growth(recent, F.lag("_base", 1 + n).over(w)) for c, n in windows.items()})
+    return moved.drop("_base")
 
 
 def cross_section_z(
-    panel: DataFrame, columns: Sequence[str] = tuple(fixed.MOMENTUM_ROWS), on: Sequence[str] = ("date",)
+    panel: DataFrame,
+    columns: Sequence[str] = tuple(fixed.MOMENTUM_ROWS),
+    on: Sequence[str] = ("date",),
+    exclude: Sequence[str] = (),
+    key: str = "ticker",
 ) -> DataFrame:
     """Add ``<column>_z``: the score of each value among all series of the same day.
 
+    Series named in ``exclude`` (say, indices) are scored but do not enter the moments.
+
     The daily moments come from an aggregation that combines before the shuffle, and are joined back. A window by day
     would move the whole panel and give each day, however many series it has, to one task.
     """
     on = list(on)
-    stats = panel.groupBy(*on).agg(
+    counted = panel.where(~F.col(key).isin(*exclude)) if exclude else panel
+    stats = counted.groupBy(*on).agg(
         *[
             F.struct(
                 F.avg(c).alias("mean"),
@@ -158,7 +168,9 @@ def rsi(
     return means.select(*panel.columns, index.alias(column))
 
 
-def compute_signals(master: DataFrame, keys: Keys = ("ticker",)) -> DataFrame:
+def compute_signals(
+    master: DataFrame, keys: Keys = ("ticker",), pad: bool = False, exclude: Sequence[str] = ()
+) -> DataFrame:
     """All signal columns. One shuffle by key for the windows; the daily moments are broadcast."""
-    series = rsi(trend_signal(moving_averages(price_z(momentum(master, keys), keys), keys)), keys)
-    return momentum_score(cross_section_z(series))
+    series = rsi(trend_signal(moving_averages(price_z(momentum(master, keys, pad=pad), keys), keys)), keys)
+    return momentum_score(cross_section_z(series, exclude=exclude, key=keys[0]))

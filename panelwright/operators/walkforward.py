@@ -215,15 +215,19 @@ def walk_forward(
     index_ticker: str = fixed.INDEX_TICKER,
     embargo_rows: int = 0,
     features: Sequence[str] = fixed.MODEL_FEATURES,
+    exclude_from_training: Sequence[str] = (),
 ) -> DataFrame:
     """Results per rebalance date from a labelled panel with features and regimes.
 
+    The index is never picked. Its rows do take part in training unless named in ``exclude_from_training``.
+
     Dates without a fittable model or with fewer than ``top_n`` scored series are left out.
     """
     needed = ["date", "ticker", *features, "composite_regime", LABEL, "fwd_return_21d", "alsi_fwd_return_21d"]
     rows = keep_for_reuse(panel.select(*needed))
     try:
-        models = fit_dated_models(rows, rebalance_dates(rows, min_train_months, embargo_rows), features)
+        trained_on = rows.where(~F.col("ticker").isin(*exclude_from_training)) if exclude_from_training else rows
+        models = fit_dated_models(trained_on, rebalance_dates(rows, min_train_months, embargo_rows), features)
         if models is None:
             return panel.sparkSession.createDataFrame([], RESULT_SCHEMA)
         picks = top_picks(score_on_dates(rows, models, features), "predicted_proba", top_n, index_ticker)

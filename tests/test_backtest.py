@@ -104,6 +104,11 @@ def test_one_class_history_gives_no_results(master):
     assert walkforward.walk_forward(flat, top_n=3, index_ticker=INDEX).count() == 0
 
 
+def test_index_rows_can_be_kept_out_of_training(master, results):
+    out = walkforward.walk_forward(master, top_n=3, index_ticker=INDEX, exclude_from_training=[INDEX])
+    assert out.count() == results.count()
+
+
 def test_dates_with_too_few_series_are_left_out(master):
     assert walkforward.walk_forward(master, top_n=7, index_ticker=INDEX).count() == 0
 

@@ -60,3 +60,9 @@ def test_economies_are_processed_separately(spark):
     out = macro.process_macro(spark.createDataFrame(rows, "country string, date date, zar_usd double"), by=["country"])
     assert column(out, "zar_usd", "country", "date") == [1.0, 1.0, 3.0, 9.0]
     assert column(out, "zar_usd_mom_pct", "country", "date") == [None, 0.0, pytest.approx(200.0), None]
+
+
+def test_changes_over_a_long_gap(monthly):
+    table = monthly({"zar_usd": [10, None, 11]})
+    assert column(macro.macro_changes(table), "zar_usd_mom_pct") == [None] * 3
+    assert column(macro.macro_changes(table, pad=True), "zar_usd_mom_pct") == [None, 0.0, pytest.approx(10.0)]

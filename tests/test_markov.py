@@ -99,3 +99,10 @@ def test_long_sequence_in_segments(spark):
     whole = markov.fit_transitions(df, "state", "at")
     cut = markov.fit_transitions(df, "state", "at", rows_per_segment=30)
     assert cells(whole) == cells(cut)
+
+
+def test_unknown_states_can_be_dropped(spark):
+    rows = list(zip(months(4), ["HIKING_nan", "HIKING_LOW_INFLATION", "UNKNOWN_UNKNOWN", "HIKING_LOW_INFLATION"]))
+    df = spark.createDataFrame(rows, "date date, composite_regime string")
+    assert len(cells(markov.fit_transitions(df))) == 9
+    assert cells(markov.fit_transitions(df, drop_unknown=True)) == {("HIKING_LOW_INFLATION",) * 2: 1.0}

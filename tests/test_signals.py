@@ -156,3 +156,17 @@ def test_positions_follow_the_order_within_each_key(spark):
     assert [tuple(r) for r in out.select("key", "seq", segments.POSITION).orderBy("key", "seq").collect()] == [
         (None, 3, 0), ("A", 1, 0), ("A", 5, 1), ("A", 9, 2), ("A", 12, 3), ("A", 30, 4), ("B", 7, 0),
     ]
+
+
+def test_excluded_series_are_scored_but_not_counted(spark):
+    rows = [("A", START, 1.0), ("B", START, 3.0), ("^I", START, 99.0)]
+    df = spark.createDataFrame(rows, "ticker string, date date, m double")
+    z = column(signals.cross_section_z(df, ["m"], exclude=["^I"]), "m_z", "ticker")
+    assert z[:2] == pytest.approx([-1 / math.sqrt(2), 1 / math.sqrt(2)]) and z[2] == pytest.approx(97 / math.sqrt(2))
+
+
+def test_momentum_over_a_gap(series):
+    panel = series({"A": [100, None, 121, 130]})
+    assert column(signals.momentum(panel, windows={"m": 1}), "m") == [None] * 4
+    padded = column(signals.momentum(panel, windows={"m": 1}, pad=True), "m")
+    assert padded == [None, None, 0.0, pytest.approx(0.21)]
