@@ -23,13 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume-weighted close and price range per series and day.
 
-    Sums are taken over whole cents and pieces, so that they do not depend on the order of addition. A brand with very
+    Sums are taken over whole cents and pieces, so that they do not depend on the order of addition (amounts are
+    positive, so adding a half and cutting off rounds them). A brand with very
     many lines is reduced per task before the shuffle; the index series is added to the already reduced rows.
     """
     lines = table(spark, sf_dir, "lineitem").selectExpr(
         "l_partkey",
         "to_date(l_shipdate) AS date",
-        "cast(round(l_extendedprice * 100) AS bigint) AS cents",
+        "cast(l_extendedprice * 100 + 0.5D AS bigint) AS cents",
         "cast(l_quantity AS bigint) AS pieces",
     )
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_brand AS brand")
@@ -67,7 +68,7 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series, date, value): two daily series, two monthly, one quarterly and two yearly ones, NULL where not given."""
     orders = table(spark, sf_dir, "orders").selectExpr(
         "to_date(o_orderdate) AS day",
-        "cast(round(o_totalprice * 100) AS bigint) AS cents",
+        "cast(o_totalprice * 100 + 0.5D AS bigint) AS cents",
         "o_orderpriority = '1-URGENT' AS urgent",
         "o_orderstatus AS status",
     )
@@ -109,7 +110,7 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").selectExpr(
         "year(o_orderdate) AS year",
-        "cast(round(o_totalprice * 100) AS bigint) AS cents",
+        "cast(o_totalprice * 100 + 0.5D AS bigint) AS cents",
         "o_orderstatus = 'O' AS open",
     )
     sums = orders.groupBy("year").agg(F.expr("sum(cents) AS cents"), F.expr("count(*) AS n"), F.expr("count_if(open) AS n_open"))

@@ -75,15 +75,20 @@ def labelled(s: SparkSession, d: str) -> DataFrame:
 
 
 def model_panel(s: SparkSession, d: str) -> DataFrame:
-    """Labelled panel with the model's features and regimes."""
-    features = signals.trend_signal(signals.moving_averages(signals.rsi(scored(s, d))))
-    kept = features.select("ticker", "date", "close", *fixed.MODEL_FEATURES)
-    return predictor.outperformance_label(regimes.attach_regimes(kept, regime_table(s, d)), INDEX)
+    """Labelled panel with the model's features and regimes.
+
+    The label comes first: its index side then reads closes only, not a panel with all features.
+    """
+    label = ["fwd_return_21d", "alsi_fwd_return_21d", "outperformed"]
+    moved = signals.momentum(signals.rsi(signals.trend_signal(signals.moving_averages(labelled(s, d)))))
+    features = signals.momentum_score(signals.cross_section_z(moved))
+    kept = features.select("ticker", "date", "close", *fixed.MODEL_FEATURES, *label)
+    return regimes.attach_regimes(kept, regime_table(s, d))
 
 
 def momentum_picks(s: SparkSession, d: str) -> DataFrame:
     """Picks by momentum score on every rebalance date."""
-    panel = predictor.outperformance_label(scored(s, d), INDEX)
+    panel = signals.momentum_score(signals.cross_section_z(signals.momentum(labelled(s, d))))
     dates = backtest.rebalance_dates(inputs.prices(s, d)).select(F.col("rebalance_date").alias("date"))
     # One rebalance date per month.
     return backtest.top_picks(panel.join(F.broadcast(dates), "date"), "momentum_score", index_ticker=INDEX)

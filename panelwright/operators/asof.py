@@ -26,9 +26,12 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str = "date", by: Seque
     readings = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(F.struct(*carried)).alias("_row"))
     horizon = right.select(F.max(on).alias("_horizon")).scalar()
     following = F.lead(on).over(W.partitionBy(*by).orderBy(on))
-    days = readings.withColumn("_until", F.coalesce(F.date_sub(following, 1), horizon)).select(
+    # Without keys the readings are few and already in one place, so the last one is found without the extra query.
+    end = horizon if by else F.max(on).over(W.partitionBy())
+    # The outer form keeps the optimizer from repeating the sequence in a filter of its own.
+    days = readings.withColumn("_until", F.coalesce(F.date_sub(following, 1), end)).select(
         *by,
-        F.explode(F.sequence(F.col(on), F.col("_until"), F.expr("interval 1 day"))).alias("_day"),
+        F.explode_outer(F.sequence(F.col(on), F.col("_until"), F.expr("interval 1 day"))).alias("_day"),
         "_row",
     )
     keyed = left.withColumn("_day", F.least(F.col(on), horizon))

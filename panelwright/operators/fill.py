@@ -31,7 +31,7 @@ def densify(panel: DataFrame, keys: Sequence[str] = ("ticker",), order: str = "d
     following = F.lead(order).over(W.partitionBy(*keys).orderBy(order))
     until = F.coalesce(F.date_sub(following, 1), F.col(order))
     stretched = panel.withColumn("_until", until).withColumn(
-        "_day", F.explode(F.sequence(F.col(order), F.col("_until"), F.expr("interval 1 day")))
+        "_day", F.explode_outer(F.sequence(F.col(order), F.col("_until"), F.expr("interval 1 day")))
     )
     real = F.col("_day") == F.col(order)
     values = {c: F.when(real, F.col(c)).alias(c) for c in others}

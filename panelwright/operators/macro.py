@@ -38,7 +38,7 @@ def monthly_macro(
     following = F.lead("_month").over(W.partitionBy(*by).orderBy("_month"))
     until = F.coalesce(F.add_months(following, -1), F.col("_month"))
     spine = resampled.withColumn("_until", until).withColumn(
-        "_slot", F.explode(F.sequence(F.col("_month"), F.col("_until"), F.expr("interval 1 month")))
+        "_slot", F.explode_outer(F.sequence(F.col("_month"), F.col("_until"), F.expr("interval 1 month")))
     )
     real = F.col("_slot") == F.col("_month")
     dense = spine.select(

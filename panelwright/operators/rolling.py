@@ -75,7 +75,10 @@ def pair_aggregates(name: str, x: str, y: str) -> dict[str, str]:
 
 
 def window_pearson(name: str, min_pairs: int) -> str:
-    """Correlation over the window, merging the centred moments of its two parts; NULL when a side is constant."""
+    """Correlation over the window, merging the centred moments of its two parts; NULL when a side is constant.
+
+    Constancy is read off minima and maxima: the merged spread of equal values may come out as rounding noise.
+    """
 
     def part(side: str, field: str) -> str:
         return f"coalesce({side}.{name}_{field}, 0D)"
@@ -91,9 +94,10 @@ def window_pearson(name: str, min_pairs: int) -> str:
 
     spread = f"sqrt({merged('vx', f'{dx} * {dx}')}) * sqrt({merged('vy', f'{dy} * {dy}')})"
     value = f"try_divide({merged('c', f'{dx} * {dy}')}, {spread})"
+    # greatest and least skip NULLs, so an undefined value must not reach them.
     return (
         f"CASE WHEN {n} >= {min_pairs}"
         f" AND {window_min(f'{name}_lx')} < {window_max(f'{name}_hx')}"
         f" AND {window_min(f'{name}_ly')} < {window_max(f'{name}_hy')}"
-        f" THEN greatest(-1D, least(1D, {value})) END"
+        f" AND {spread} > 0 THEN greatest(-1D, least(1D, {value})) END"
     )

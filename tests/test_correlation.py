@@ -61,6 +61,7 @@ def test_matches_pandas_with_gaps(panel):
 
 def test_constant_side_gives_no_rows(panel):
     assert correlation.rolling_correlations(panel(RNG.normal(size=60), [3.3] * 60)).count() == 0
+    assert correlation.rolling_correlations(panel(RNG.normal(size=400), [358907.5514399999] * 400)).count() == 0
 
 
 def test_name_falls_back_to_the_key_and_absent_variables_are_skipped(panel):
