@@ -26,7 +26,7 @@ class _Chunks(dict):
         self.encoder, self.size = encoder, size
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.encoder.chunk_ids(chunk))
+        ids = self.encoder.chunk_ids(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.size:
                 self.clear()
@@ -52,23 +52,40 @@ class MergeEncoder:
         self.ids = {sp.id_to_piece(i): i for i in normal}
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in normal}
         self.whole = {p for p in self.ids if self.merged(p) == [p]}
-        # Merges never cross from a letter to a space, so texts can be cut there; likewise at line ends.
-        inside = [p for p in self.ids if re.search(f"[^{SPACE}]{SPACE}", p)]
-        line = "" if any("\n" in p and len(p) > 1 for p in self.ids) else r"\n"
-        self.cut = None if inside else (r"\n|" if line else "") + f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+"
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces that remain after merging neighbours, best score first, leftmost among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(
-                ((self.scores[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores),
-                default=None,
-            )
-            if best is None:
+        # Merges never join two characters that no piece has side by side, so texts can be cut between them: before a run of
+        # spaces, and where a run of marks begins or ends, unless the text has one of the few characters that a piece joins to marks.
+        pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        marks = {c for p in self.ids for c in p if not c.isalnum()} | set("\t\n\r") - {SPACE}
+        glue = {other for a, b in pairs for c, other in ((a, b), (b, a)) if c in marks and other not in marks | {SPACE}}
+        own = "".join(map(re.escape, sorted(marks)))
+        apart = not any(b == SPACE != a for a, b in pairs)
+        self.coarse = f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else r"(?s:.+)"
+        self.fine = f"{SPACE}*(?:[{own}]+|[^{SPACE}{own}]+)|{SPACE}+" if apart and marks else self.coarse
+        self.glue = f"[{''.join(map(re.escape, sorted(glue)))}]" if glue else "(?!)"
+
+    def merged(self, text: str, border: int = -1) -> list[str] | None:
+        """The pieces that remain after merging neighbours, best score first, leftmost among equals.
+
+        None as soon as a merge crosses ``border``, a place in the text.
+        """
+        parts, get, none = list(text), self.scores.get, float("-inf")
+        scores = [get(a + b, none) for a, b in zip(text, text[1:])]
+        left = border
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            k = scores.index(best)
+            if left > 0:
+                if k + 1 == left:
+                    return None
+                left -= k + 1 < left
+            parts[k] += parts.pop(k + 1)
+            del scores[k]
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], none)
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], none)
         return parts
 
     @classmethod
@@ -81,22 +98,26 @@ class MergeEncoder:
 
         self.automaton = ahocorasick.Automaton()
         for piece in self.whole:
-            self.automaton.add_word(piece, len(piece))
+            self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.good: set[tuple[str, str]] = set()
+        self.codes = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.cache_size = cache_size
         self.chunks = _Chunks(self, cache_size)
-        self.split = re.compile(self.cut).findall if self.cut else lambda text: [text]
+        self.find_fine, self.find_coarse = re.compile(self.fine).findall, re.compile(self.coarse).findall
+        self.has_glue = re.compile(self.glue).search
         self.marks = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
         return self
 
     def fits(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= self.cache_size:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return known
+        if len(self.pairs) >= self.cache_size:
+            self.pairs.clear()
+            self.good.clear()
+        fit = self.pairs[left, right] = self.merged(left + right, len(left)) == [left, right]
+        if fit:
+            self.good.add((left, right))
+        return fit
 
     def shorter(self, piece: str) -> str | None:
         for n in range(len(piece) - 1, 1, -1):
@@ -104,45 +125,61 @@ class MergeEncoder:
                 return piece[:n]
         return piece[0] if len(piece) > 1 else None
 
+    def _longest(self, text: str, at: int, known: dict[int, str]) -> str:
+        """The longest piece at ``at``; the longest ones that follow it are noted in ``known`` on the way."""
+        for last, piece in self.automaton.iter_long(text, at):
+            known[last - len(piece) + 1] = piece
+        return known.setdefault(at, text[at])
+
     def pieces(self, text: str) -> list[str]:
-        longest = [1] * len(text)
-        for last, n in self.automaton.iter(text):
-            longest[last - n + 1] = max(longest[last - n + 1], n)
+        # Most often the longest pieces in a row all fit.
+        row = [piece for _, piece in self.automaton.iter_long(text)]
+        if self.good.issuperset(zip(row, row[1:])) and sum(map(len, row)) == len(text):
+            return row
+        known: dict[int, str] = {}
         out: list[str] = []
         failed = bytearray(len(text) // 8 + 1)
-        at, candidate = 0, text[: longest[0]] if text else ""
-        while at < len(text):
+        pairs, at, left, size = self.pairs, 0, None, len(text)
+        candidate = self._longest(text, 0, known) if text else ""
+        while at < size:
             after = at + len(candidate)
-            if not failed[after >> 3] >> (after & 7) & 1 and (not out or self.fits(out[-1], candidate)):
+            ok = left is None or pairs.get((left, candidate))
+            if ok is None:
+                ok = self.fits(left, candidate)
+            if ok and not failed[after >> 3] >> (after & 7) & 1:
                 out.append(candidate)
-                at = after
-                if at < len(text):
-                    candidate = text[at : at + longest[at]]
+                left, at = candidate, after
+                if at < size:
+                    candidate = known.get(at) or self._longest(text, at, known)
                 continue
             shorter = self.shorter(candidate)
             if shorter is None:
                 failed[at >> 3] |= 1 << (at & 7)
                 candidate = out.pop()
                 at -= len(candidate)
+                left = out[-1] if out else None
             else:
                 candidate = shorter
         return out
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.pieces(chunk):
-            known = self.ids.get(piece)
-            ids.extend([known] if known is not None else [self.bytes[b] for b in piece.encode()])
-        return ids
+    def chunk_ids(self, chunk: str) -> bytes:
+        pieces = self.pieces(chunk)
+        try:
+            return b"".join(map(self.codes.__getitem__, pieces))
+        except KeyError:
+            for piece in set(pieces) - self.codes.keys():  # a character without a piece: its bytes
+                self.codes[piece] = b"".join(self.bytes[b].to_bytes(4, "little") for b in piece.encode())
+            return b"".join(map(self.codes.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b"".join(self.marks)
         spaced = SPACE + text.replace(" ", SPACE)
-        return b"".join([self.marks[0], *map(self.chunks.__getitem__, self.split(spaced)), self.marks[1]])
+        chunks = (self.find_coarse if self.has_glue(spaced) else self.find_fine)(spaced)
+        return b"".join([self.marks[0], *map(self.chunks.__getitem__, chunks), self.marks[1]])
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", cache_size: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", cache_size: int = 500_000) -> DataFrame:
     """``docs`` with ``out``: the ids of the whole text as little-endian unsigned 32-bit integers, begin and end included.
 
     Null and empty texts give just the two marks. Other columns stay as they are; a column named ``out`` is replaced.
