@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,16 +32,21 @@ class LanguageModel:
     false_rate: np.ndarray
 
 
+def letter_table() -> np.ndarray:
+    """Lower-case letter by code point, 0 where there is none: 4 MB."""
+    letters = np.zeros(0x110000, np.uint32)
+    for k in (*range(0xD800), *range(0xE000, 0x110000)):
+        c = chr(k)
+        if c.isalpha():
+            letters[k] = ord(c.lower()[0])
+    return letters
+
+
 class GramReader:
     """n-grams of texts, as 64-bit hashes."""
 
-    def __init__(self) -> None:
-        self.letter = np.zeros(0x110000, np.uint32)
-        points = np.arange(0x110000)
-        points = points[(points < 0xD800) | (points > 0xDFFF)]
-        text = points.astype("<u4").tobytes().decode("utf-32-le")
-        alpha = np.fromiter(map(str.isalpha, text), bool, len(text))
-        self.letter[points[alpha]] = [ord(c.lower()[0]) for c in np.array(list(text))[alpha]]
+    def __init__(self, letters: np.ndarray) -> None:
+        self.letter = letters
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, index of the text of each, has a letter per text)."""
@@ -80,11 +86,11 @@ def slot_numbers(h: np.ndarray, hashes: int, slots: int) -> list[np.ndarray]:
     return [((h + np.uint64(k) * step) % np.uint64(slots)).astype(np.int64) for k in range(hashes)]
 
 
-def _gram_counts(labelled: DataFrame, flush: int) -> DataFrame:
+def _gram_counts(labelled: DataFrame, letters: Broadcast, flush: int) -> DataFrame:
     """(lang, gram, n): counted inside the tasks, at most ``flush`` n-grams in memory, then summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = GramReader()
+        reader = GramReader(letters.value)
         held: dict[str, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         rows = 0
 
@@ -131,20 +137,26 @@ def learn(
     slots: int = 1 << 21,
     hashes: int = 3,
     max_languages: int = 512,
+    sample_docs: int = 20_000,
 ) -> LanguageModel:
     """Model from ``labelled`` (text, lang); rows with null text or lang teach nothing.
 
     A language's filter takes the n-grams that make up at least ``min_share`` of its running text, at most
     ``1 / min_share`` of them, and are at least ``min_ratio`` times as frequent as in any other language (a stray quotation
-    teaches nothing). Everything brought to the driver is bounded by these parameters. More than ``max_languages`` values
+    teaches nothing). N-grams are taken from about ``sample_docs`` documents of each language at most, chosen by a hash of
+    their text: a bounded sample for fitting; every language of the table is learned. Everything brought to the driver is bounded by these parameters. More than ``max_languages`` values
     of lang raise an error; none give a model that answers ``und``.
     """
     usable = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     counted = usable.groupBy("lang").agg(F.count("*").alias("docs")).limit(max_languages + 1).collect()
     if len(counted) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    share = {r["lang"]: min(1.0, sample_docs / r["docs"]) for r in counted}
+    limits = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))]) if share else F.lit(None)
+    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < limits[F.col("lang")]) if share else usable
+    letters = labelled.sparkSession.sparkContext.broadcast(letter_table())
     languages = [r["lang"] for r in sorted(counted, key=lambda r: (-r["docs"], r["lang"]))]
-    counts = _gram_counts(usable, flush=4_000_000)
+    counts = _gram_counts(chosen, letters, flush=4_000_000)
     # Only n-grams of a fair share matter; totals need the small ones too, so both come from one pass.
     from panelwright.llm.shared import written
 
@@ -180,11 +192,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     Existing columns lang_pred and score are replaced, others stay. No shuffle.
     """
     kept = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.hashes, model.false_rate))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.hashes, model.false_rate, letter_table()))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, reader = LanguageModel(*shared.value), GramReader()
+        m, reader = LanguageModel(*shared.value[:4]), GramReader(shared.value[4])
         for batch in batches:
             names: list[str] = []
             scores: list[float] = []
