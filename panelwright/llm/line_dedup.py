@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +23,14 @@ _DIGIT = re.compile(r"\d")
 _BITS = 1 << 24
 
 
-def line_tokens(line: str) -> list[str]:
+def line_tokens(line: str, fields: bool = True) -> list[str]:
     tokens = line.split()
-    if _DIGIT.search(line):
+    if fields and _DIGIT.search(line):
         tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
     return tokens
 
 
 def leaf_of(tokens: list[str], depth: int) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}") - (1 << 63)
 
 
@@ -81,8 +80,9 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, hot: object | None) ->
                 part = batch.slice(start, 256)
                 rows: list[tuple] = []
                 for doc, body, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "body", "text"))):
+                    fields = _DIGIT.search(text) is not None
                     for place, line in enumerate(text.split("\n")):
-                        tokens = line_tokens(line)
+                        tokens = line_tokens(line, fields)
                         if len(tokens) >= min_tokens:
                             leaf = leaf_of(tokens, depth)
                             b = leaf % _BITS
@@ -193,6 +193,6 @@ def drop_recurring(docs: DataFrame, text: str = "text", **options: float) -> Dat
     left = F.filter(split, lambda line, k: ~F.array_contains("_places", k))
     return joined.select(
         *[F.when(F.col("_places").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col(c) for c in base.columns],
-        F.coalesce(F.size(split), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("_places"), F.lit(0)).alias("n_dropped"),
     )
