@@ -8,8 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import language_id, licence_scan, line_dedup, minhash_dedup, mixing, sentencepiece_codec
+from panelwright.llm import language_id, licence_scan, line_dedup, minhash_dedup, mixing, sentencepiece_codec, shared, warc
 from panelwright.llm.licence_texts import TEXTS, known_licences
+from panelwright.llm.shared import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,28 @@ def op1_minhash_dedup(s, d):
     return minhash_dedup.near_duplicates(table(s, d, "documents").select("doc_id", "text"))
 
 
+@query
+def op2_warc(s, d):
+    path = scratch_path(s, "warc")
+    warc.write_archives(table(s, d, "pages"), path)
+    number = F.expr("try_cast(regexp_extract(id, '<urn:x-page:(-?[0-9]+)>', 1) AS bigint)")
+    back = warc.read_archives(s, path)
+    back = back.select(
+        F.col("record_id").alias("id"), "record_type", "refers_to", "payload_digest", warc.base32_sha1(F.col("payload")).alias("own_digest"),
+        F.length("payload").cast("long").alias("own_bytes"),
+    )
+    back = back.withColumn("page_id", number).withColumn("id", F.col("refers_to")).withColumn("refers_to", number).drop("id")
+    back = written(back, "warc-pages")
+    held = back.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("own_bytes").alias("held_bytes"))
+    return shared.skew_join(back, held, ["refers_to"], "left").select(
+        "page_id",
+        F.coalesce("own_bytes", "held_bytes").alias("payload_bytes"),
+        F.coalesce("own_digest", "payload_digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 @query
 def op5_licence_scan(s, d):
     found = licence_scan.scan(table(s, d, "documents").select("doc_id", "text"), known_licences(s))
@@ -92,6 +115,16 @@ def _canonical_sql(text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH page AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        hashed AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS h FROM page),
+        bits AS (SELECT page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first, unhex(h)::BIT::VARCHAR AS b FROM hashed)
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([substr(b, 5 * i + j, 1)::INT * (2 ** (5 - j))::INT
+                                for j in range(1, 6)])::INT, 1) for i in range(0, 32)], '') AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM bits""",
     "op5_licence_scan": f"""
         WITH given(licence, body) AS (VALUES {_known_values()}),
         known AS (SELECT sha256(array_to_string({_canonical_sql("body")}, ' ')) AS digest, min(licence) AS licence FROM given GROUP BY 1),
