@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import language_id, licence_scan, line_dedup, minhash_dedup, mixing, sentencepiece_codec, shared, warc
+from panelwright.llm import exact_topk, hnsw_dedup, language_id, licence_scan, line_dedup, minhash_dedup, mixing, sentencepiece_codec, shared, warc
 from panelwright.llm.licence_texts import TEXTS, known_licences
 from panelwright.llm.shared import scratch_path, written
 
@@ -65,6 +65,20 @@ def op2_warc(s, d):
     )
 
 
+@query
+def op3_exact_topk(s, d):
+    whole = F.transform(
+        "embedding",
+        lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(F.lit(256.0) * x.cast("double")).cast("double")),
+    )
+    return exact_topk.top_k(exact_topk.whole_vectors(table(s, d, "embeddings"), whole), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op6_hnsw_dedup(s, d):
+    return hnsw_dedup.near_duplicates(table(s, d, "embeddings"))
+
+
 @query
 def op5_licence_scan(s, d):
     found = licence_scan.scan(table(s, d, "documents").select("doc_id", "text"), known_licences(s))
@@ -125,6 +139,12 @@ ORACLES: dict[str, str] = {
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM bits""",
+    "op3_exact_topk": """
+        WITH whole AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
+        pair AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+                 FROM whole q JOIN whole x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+        placed AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM pair)
+        SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5""",
     "op5_licence_scan": f"""
         WITH given(licence, body) AS (VALUES {_known_values()}),
         known AS (SELECT sha256(array_to_string({_canonical_sql("body")}, ' ')) AS digest, min(licence) AS licence FROM given GROUP BY 1),
