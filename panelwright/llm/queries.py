@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import exact_topk, hnsw_dedup, language_id, licence_scan, line_dedup, minhash_dedup, mixing, sentencepiece_codec, shared, warc
+from panelwright.llm import exact_topk, hnsw_dedup, language_id, licence_scan, line_dedup, lm_scoring, minhash_dedup, mixing, sentencepiece_codec, shared, warc
 from panelwright.llm.licence_texts import TEXTS, known_licences
 from panelwright.llm.shared import scratch_path, written
 
@@ -74,6 +74,11 @@ def op3_exact_topk(s, d):
     return exact_topk.top_k(exact_topk.whole_vectors(table(s, d, "embeddings"), whole), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op4_lm_scoring(s, d):
+    return lm_scoring.score_documents(table(s, d, "documents").select("doc_id", "text"), remainder(7) == 2)
+
+
 @query
 def op6_hnsw_dedup(s, d):
     return hnsw_dedup.near_duplicates(table(s, d, "embeddings"))
