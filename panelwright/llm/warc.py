@@ -48,7 +48,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     )
     page = page.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html").cast("long")})
     first = page.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    page = skew_join(page, first.where("n > 1").drop("n"), ["digest", "size"], "left")
+    # Written first, so that Spark knows its size: pages move only if it is too large to broadcast.
+    first = written(first.where("n > 1").drop("n"), "warc-equal-payloads")
+    page = skew_join(page, first, ["digest", "size"], "left")
     again = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     block = F.when(again, http).otherwise(F.concat(http, "html"))
@@ -228,13 +230,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     carried = bases.join(lasts, ["file", "split"], "left").select("file", "split", F.last("last", True).over(before).alias("carried"))
     owned = marks.join(carried, ["file", "split"]).selectExpr("file", "split", "seq", "coalesce(own, carried) AS owner").where("owner IS NOT NULL")
     parts = owned.groupBy("file", "owner").agg(F.count("*").alias("parts"))
-    owned = written(owned.join(parts, ["file", "owner"]), "warc-owners")
-    content = segments.select("file", "split", "seq", "content").join(owned, ["file", "split", "seq"])
-    one = content.where("parts = 1").select("file", F.col("owner").alias("off"), "content")
-    many = content.where("parts > 1").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("split", "seq", "content"))).alias("c"))
+    owned = owned.join(parts, ["file", "owner"]).join(known.select("file", "split", "seq", "off"), ["file", "split", "seq"], "left")
+    # Most segments are a record each. The others, at splits' ends and where payloads hold the magic, are written first, so
+    # that Spark knows their size: contents move only if they are too many to broadcast.
+    at = ["file", "split", "seq"]
+    simple = owned.where("parts = 1 AND off <=> owner").select(*at)
+    bases = bases.select("file", "split", "base")
+    odd = written(segments.select(*at).join(simple, at, "left_anti").join(owned.select(*at, "owner"), at, "left"), "warc-odd-segments")
+    one = segments.select(*at, "start", "head", "content").join(odd.select(*at), at, "left_anti")
+    one = one.join(written(bases, "warc-bases"), ["file", "split"]).withColumn("head_size", F.length("head").cast("long"))
+    one = one.select("file", (F.col("base") + F.col("start")).alias("off"), F.col("head").cast("string").alias("head"), "head_size", "content")
+    one = one.withColumn("length", F.regexp_extract("head", r"(?im)^Content-Length:[ \t]*([0-9]+)[ \t\r]*$", 1).cast("long"))
+    many = segments.select(*at, "content").join(odd.where("owner IS NOT NULL"), at)
+    many = many.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("split", "seq", "content"))).alias("c"))
     # A record's own pieces, as many as splits cut it into.
     many = many.select("file", F.col("owner").alias("off"), F.expr("aggregate(c.content, cast('' AS binary), (a, x) -> concat(a, x))").alias("content"))
-    whole = one.union(many).join(known.select("file", "off", "head", "head_size", "length"), ["file", "off"])
+    many = many.join(known.select("file", "off", "head", "head_size", "length"), ["file", "off"])
+    columns = ["file", "off", "head", "head_size", "length", "content"]
+    whole = one.select(*columns).union(many.select(*columns))
     block = F.expr("substring(content, cast(head_size + 1 AS int), cast(length AS int))")
     whole = whole.select("file", "off", "head", block.alias("block"))
     at = F.instr(F.col("block").cast("string"), F.lit(END))  # the HTTP header is ASCII, so characters are bytes
