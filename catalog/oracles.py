@@ -307,6 +307,21 @@ def r(*columns: str, places: int = 6) -> str:
     return ", ".join(f"round({c}, {places}) AS {c}" for c in columns)
 
 
+def rsi_sql(rows: int) -> str:
+    """Every earlier change with its full weight, quadratic; weights that would underflow count as nothing."""
+    weight = f"CASE WHEN a.rn - b.rn < 5000 THEN pow({rows - 1}.0 / {rows}.0, a.rn - b.rn) ELSE 0 END"
+    if rows == 2:
+        weight = "CASE WHEN a.rn - b.rn < 1000 THEN pow(0.5, a.rn - b.rn) ELSE 0 END"
+    return with_ctes(
+        f"""SELECT ticker, date, round(CASE WHEN known < {rows} THEN NULL WHEN down = 0 AND up > 0 THEN 100 WHEN up = 0 AND down > 0 THEN 0
+                   WHEN up > 0 AND down > 0 THEN 100 - 100 / (1 + up / down) END, 6) AS rsi_{rows}
+            FROM (SELECT a.ticker, a.date, count(b.change) AS known, sum(greatest(b.change, 0) * {weight}) AS up,
+                         sum(greatest(-b.change, 0) * {weight}) AS down
+                  FROM changes a JOIN changes b ON a.ticker = b.ticker AND b.rn <= a.rn GROUP BY a.ticker, a.date)""",
+        "changes",
+    )
+
+
 DERIVED = ("zar_usd_mom_pct", "cpi_yoy_pct", "real_tbill_rate", "yield_curve_spread")
 FLAGS = ", ".join(
     f"CASE WHEN composite_regime = '{v}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS regime_{v}" for v in REGIME_ORDER
@@ -390,6 +405,8 @@ ORACLES: dict[str, str] = {
         f"SELECT ticker, date, {r('ma_50', 'ma_200', places=4)}, {r('ma_ratio_50_200')} FROM averages", "averages"
     ),
     "trend_signal": with_ctes("SELECT ticker, date, trend_signal FROM averages", "averages"),
+    "rsi_2": rsi_sql(2),
+    "rsi_200": rsi_sql(200),
     "rsi_14": with_ctes(f"SELECT ticker, date, {r('rsi_14')} FROM rsi", "rsi"),
     "month_start_leaders": with_ctes(
         f"""SELECT z.date, CAST(rank AS INTEGER) AS rank, ticker, {r('mom_1m_z', 'tbill_rate')}
@@ -480,10 +497,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT "from", "to", n, CAST(occurrences AS BIGINT) AS occurrences, {r('probability')} FROM matrix""", "matrix"
     ),
     "transition_matrix_wide": with_ctes(
-        'SELECT "from", '
-        + ", ".join(f"round(max(probability) FILTER (WHERE \"to\" = '{v}'), 6) AS {v}" for v in REGIME_ORDER)
-        + " FROM matrix GROUP BY 1",
-        "matrix",
+        'PIVOT (SELECT "from", "to", probability FROM matrix) ON "to" USING round(max(probability), 6) GROUP BY "from"', "matrix"
     ),
     "next_regime": with_ctes(
         f"""SELECT "to", {r('probability')} FROM matrix WHERE "from" =
@@ -582,13 +596,15 @@ ORACLES: dict[str, str] = {
         f"SELECT date, {r('tbill_rate', 'cpi_all', 'zar_usd', 'zar_usd_mom_pct')} FROM macro", "macro"
     ),
     "momentum_ranking": with_ctes(
-        "SELECT ticker, arg_max(name, date) AS name, "
+        "SELECT s.ticker, arg_max(s.name, s.date) AS name, arg_max(a.trend_signal, s.date) AS trend_signal, "
         + ", ".join(
-            f"round(arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL), 4) AS {c}"
-            for c in ("momentum_score", "mom_1m", "mom_3m", "mom_6m")
+            f"round(arg_max({c}, s.date) FILTER (WHERE {c} IS NOT NULL), 4) AS {c}"
+            for c in ("momentum_score", "mom_1m", "mom_3m", "mom_6m", "rsi_14")
         )
-        + f" FROM score WHERE date <= DATE '{CUT_DAY}' GROUP BY ticker",
-        "score",
+        + " FROM score s JOIN rsi r ON r.ticker = s.ticker AND r.date = s.date"
+        + " JOIN averages a ON a.ticker = s.ticker AND a.date = s.date"
+        + f" WHERE s.date <= DATE '{CUT_DAY}' GROUP BY s.ticker",
+        "score", "rsi", "averages",
     ),
     "latest_regime": with_ctes(
         f"""SELECT date, composite_regime, CAST(regime_duration AS INTEGER) AS regime_duration, {r('tbill_rate', 'cpi_yoy_pct')}
@@ -648,9 +664,10 @@ ORACLES: dict[str, str] = {
         "results",
     ),
     "return_histogram": with_ctes(
-        """SELECT CAST(least(coalesce(floor((net_excess_return - lo) / nullif(hi - lo, 0) * 30), 0), 29) + 1 AS INTEGER) AS bin,
-                  count(*) AS n
-           FROM results, (SELECT min(net_excess_return) AS lo, max(net_excess_return) AS hi FROM results) GROUP BY 1""",
+        """SELECT bin, round(lo + (hi - lo) / 30 * (bin - 1), 6) AS low_edge, round(lo + (hi - lo) / 30 * bin, 6) AS high_edge,
+                  (SELECT count(*) FROM results WHERE CAST(least(coalesce(floor((net_excess_return - lo) / nullif(hi - lo, 0) * 30), 0), 29) + 1 AS INTEGER) = bin) AS n
+           FROM (SELECT min(net_excess_return) AS lo, max(net_excess_return) AS hi FROM results),
+                (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS bin)""",
         "results",
     ),
     "feature_matrix": with_ctes(

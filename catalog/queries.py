@@ -33,7 +33,7 @@ from panelwright.sources import normalise, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+MAX_COLUMNS = 10_000
 CUT_DAY = "1999-07-01"
 
 
@@ -42,6 +42,14 @@ def query(build: Query) -> Query:
     return build
 
 
+def names(df: DataFrame, column: str) -> list[str]:
+    """Values that become columns: read from the data, with an error beyond ``MAX_COLUMNS``."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect()]
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} values of {column}")
+    return sorted(found)
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -110,15 +118,16 @@ def price_panel(s, d):
 def normalise_prices(s, d):
     """The panel laid out wide, one column per field and series, and brought back."""
     long = inputs.prices(s, d)
+    tickers = names(long, "ticker")
     fields = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}
     wide = long.groupBy(F.col("date").alias("Date")).agg(
         *[
             F.expr(f"max({column}) FILTER (WHERE ticker = '{t}') AS `{field}|{t}`")
-            for t in [*BRANDS, INDEX]
+            for t in tickers
             for field, column in fields.items()
         ]
     )
-    return normalise.normalise_prices(wide, {t: f"Series {t}" for t in [*BRANDS, INDEX]})
+    return normalise.normalise_prices(wide, {t: f"Series {t}" for t in tickers})
 
 
 @query
@@ -282,6 +291,16 @@ def rsi_14(s, d):
     return rounded(signals.rsi(closes(s, d)).select("ticker", "date", "rsi_14"), "rsi_14")
 
 
+@query
+def rsi_2(s, d):
+    return rounded(signals.rsi(closes(s, d), rows=2, column="rsi_2").select("ticker", "date", "rsi_2"), "rsi_2")
+
+
+@query
+def rsi_200(s, d):
+    return rounded(signals.rsi(closes(s, d), rows=200, column="rsi_200").select("ticker", "date", "rsi_200"), "rsi_200")
+
+
 @query
 def month_start_leaders(s, d):
     """Flagship: point-in-time rate and the five strongest one-month movers on the first trading day of each month."""
@@ -409,8 +428,9 @@ def transition_matrix(s, d):
 
 @query
 def transition_matrix_wide(s, d):
-    out = markov.wide_matrix(markov.fit_transitions(regime_table(s, d)), fixed.REGIME_ORDER)
-    return rounded(out, *fixed.REGIME_ORDER)
+    matrix = markov.fit_transitions(regime_table(s, d))
+    states = names(matrix, "to")
+    return rounded(markov.wide_matrix(matrix, states), *states)
 
 
 @query
@@ -530,7 +550,9 @@ def macro_view(s, d):
 
 @query
 def momentum_ranking(s, d):
-    return views.signal_snapshot(scored(s, d).drop("mom_12m"), CUT_DAY)
+    moved = signals.momentum(signals.rsi(signals.trend_signal(signals.moving_averages(closes(s, d)))))
+    panel = signals.momentum_score(signals.cross_section_z(moved))
+    return views.signal_snapshot(panel.select("date", "ticker", "name", *views.SIGNAL_COLUMNS), CUT_DAY)
 
 
 @query
@@ -602,7 +624,7 @@ def return_distribution(s, d):
 
 @query
 def return_histogram(s, d):
-    return backtest.return_histogram(momentum_results(s, d))
+    return rounded(backtest.return_histogram(momentum_results(s, d)), "low_edge", "high_edge")
 
 
 @query

@@ -13,7 +13,7 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str = "date", by: Seque
     """Attach to each left row the latest right row dated on or before it. Left rows are kept as they are.
 
     The whole right row is taken even where its values are NULL; rows before the first reading get NULLs. ``on`` is a
-    DATE on both sides.
+    DATE on both sides; timestamps are taken by their day.
 
     Readings are spread over the days they are valid for, so the join becomes an equi-join on the day. The left side
     is read once and, without ``by``, never shuffled: the day table has one row per calendar day between the first and
@@ -22,6 +22,7 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str = "date", by: Seque
     """
     by = list(by)
     carried = [c for c in right.columns if c != on and c not in by]
+    right = right.withColumn(on, F.to_date(on))
     # One row per reading day: should a day repeat, the greatest row is taken so that the choice is deterministic.
     readings = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(F.struct(*carried)).alias("_row"))
     horizon = right.select(F.max(on).alias("_horizon")).scalar()
@@ -34,7 +35,7 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str = "date", by: Seque
         F.explode_outer(F.sequence(F.col(on), F.col("_until"), F.expr("interval 1 day"))).alias("_day"),
         "_row",
     )
-    keyed = left.withColumn("_day", F.least(F.col(on), horizon))
+    keyed = left.withColumn("_day", F.least(F.to_date(on), horizon))
     joined = keyed.join(days if by else F.broadcast(days), [*by, "_day"], "left")
     return joined.select(*[F.col(c) for c in left.columns], *[F.col("_row")[c].alias(c) for c in carried])
 

@@ -164,15 +164,22 @@ def return_distribution(results: DataFrame, column: str = "net_excess_return") -
 
 
 def return_histogram(results: DataFrame, column: str = "net_excess_return", bins: int = 30) -> DataFrame:
-    """Counts in equal bins between the smallest and the largest value; the largest falls into the last bin."""
-    value = F.col(column)
-    low = results.agg(F.min(column)).scalar()
-    high = results.agg(F.max(column)).scalar()
-    place = F.floor(ratio(value - low, high - low) * bins)
+    """Counts in equal bins between the smallest and the largest value; the largest falls into the last bin.
+
+    All bins are there, with their edges, also those without a value; no value at all: no rows.
+    """
+    value = F.col(column).cast("double")
+    span = results.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    ranged = results.where(value.isNotNull()).select(value.alias("_v")).crossJoin(F.broadcast(span))  # one row
+    place = F.floor(ratio(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")) * bins)
     bucket = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)) + 1
-    return (
-        results.where(value.isNotNull())
-        .select(bucket.cast("int").alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = ranged.groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = span.where(F.col("_low").isNotNull()).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    rows = every.join(counts, "bin", "left")
+    width = (F.col("_high") - F.col("_low")) / bins
+    return rows.select(
+        "bin",
+        (F.col("_low") + width * (F.col("bin") - 1)).alias("low_edge"),
+        (F.col("_low") + width * F.col("bin")).alias("high_edge"),
+        F.coalesce("n", F.lit(0)).alias("n"),
     )

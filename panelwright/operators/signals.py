@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions import fixed_values as fixed
 from panelwright.functions.guarded import growth, padded, ratio, rolling, series_window, standard_score, trailing
 from panelwright.operators.rolling import window_total, with_window_parts
 
 Keys = Sequence[str]
-RSI_BLOCK_ROWS = 1024
+#: Weights within a block stay below ten to this power, far from the end of double range.
+RSI_WEIGHT_DIGITS = 250
 
 
 def momentum(
@@ -54,8 +57,9 @@ def cross_section_z(
             for c in columns
         ]
     )
-    # One row per calendar day at most, so the broadcast has a fixed bound.
-    small = F.broadcast(stats) if on == ["date"] else stats
+    # One row per calendar day at most, so the broadcast has a fixed bound; any other key is left to Spark's size check.
+    daily = len(on) == 1 and isinstance(panel.schema[on[0]].dataType, T.DateType)
+    small = F.broadcast(stats) if daily else stats
     scored = panel.join(small, on, "left").withColumns(
         {
             f"{c}_z": standard_score(
@@ -112,6 +116,11 @@ def trend_signal(panel: DataFrame) -> DataFrame:
     return panel.withColumn("trend_signal", F.when(fast > slow, 1).when(fast < slow, -1).otherwise(0))
 
 
+def _rsi_block(decay: float) -> int:
+    """Rows after which decay**-row has reached its limit."""
+    return max(1, int(RSI_WEIGHT_DIGITS / -math.log10(decay))) if decay > 0 else 1
+
+
 def rsi(
     panel: DataFrame,
     keys: Keys = ("ticker",),
@@ -122,18 +131,18 @@ def rsi(
     """Relative strength index from exponentially weighted mean gains and losses.
 
     The index needs only the ratio of the two means, so their common normalisation cancels and each mean can be a plain
-    running sum of gain * decay**-row. To stay inside double range the sums restart every 1024 rows, and each block
-    takes over the decayed total of the last earlier block in which the price moved (anything older is below double
-    precision). ``position`` names an existing 0-based row number; without it rows are numbered here.
+    running sum of gain * decay**-row. To stay inside double range the sums restart after a block of rows whose length
+    follows from ``rows``, and each block takes over the decayed total of all blocks before it. ``position`` names an existing 0-based row number; without it rows are numbered here.
     """
     w = series_window(keys)
     decay = (rows - 1) / rows
+    block = _rsi_block(decay)
     at = F.col(position) if position else F.row_number().over(w) - 1
     moved = panel.withColumns({"_at": at, "_change": F.col("close") - F.lag("close", 1).over(w)})
     moved = moved.withColumns(
         {
-            "_block": F.expr(f"_at div {RSI_BLOCK_ROWS}"),
-            "_slot": F.expr(f"_at % {RSI_BLOCK_ROWS}"),
+            "_block": F.expr(f"_at div {block}"),
+            "_slot": F.expr(f"_at % {block}"),
             "_known": F.count("_change").over(w.rowsBetween(W.unboundedPreceding, 0)),
         }
     )
@@ -145,14 +154,17 @@ def rsi(
             "_down": F.expr(f"sum(coalesce(greatest(-_change, 0D), 0D) * {weight})").over(inside),
         }
     )
-    closing = F.expr(
-        f"CASE WHEN _slot = {RSI_BLOCK_ROWS - 1} AND _up + _down > 0 THEN named_struct('b', _block, 'u', _up, 'd', _down) END"
-    )
+    closing = F.expr(f"CASE WHEN _slot = {block - 1} THEN named_struct('b', _block, 'u', _up, 'd', _down) END")
     earlier = W.partitionBy(*keys).orderBy("_block", "_slot").rowsBetween(W.unboundedPreceding, -1)
     carried = summed.withColumn("_closing", closing)
-    carried = carried.withColumn("_last", F.last("_closing", ignorenulls=True).over(earlier))
-    # A block total is scaled to slot 0 of its own block; seen from a later block it has decayed by 1024 rows for each.
-    faded = f"pow({decay!r}D, (_block - _last.b) * {RSI_BLOCK_ROWS})"
+    # One closing a block: a handful even for the longest series of days.
+    carried = carried.withColumn("_closings", F.collect_list("_closing").over(earlier))
+    # A block's total is scaled to slot 0 of its own block; seen from the next block it has decayed by a block's rows.
+    step = f"pow({decay!r}D, {block})"
+    total = f"""aggregate(_closings, named_struct('u', 0D, 'd', 0D),
+                  (a, x) -> named_struct('u', a.u * {step} + x.u, 'd', a.d * {step} + x.d))"""
+    carried = carried.withColumn("_last", F.when(F.size("_closings") > 0, F.expr(total)))
+    faded = step
     means = carried.withColumns(
         {
             "_up": F.expr(f"_up + coalesce(_last.u * {faded}, 0D)"),

@@ -11,10 +11,10 @@ from panelwright.operators.correlation import rolling_correlations
 from panelwright.operators.equity import process_prices
 from panelwright.operators.macro import process_macro
 from panelwright.operators.markov import fit_transitions
-from panelwright.operators.quality import run_all_checks
+from panelwright.operators.quality import ISSUE_SCHEMA, run_all_checks
 from panelwright.operators.regimes import attach_regimes, classify_regimes
 from panelwright.operators.signals import compute_signals
-from panelwright.sources.snapshots import SnapshotNotFound, read_latest, read_previous, write_snapshot
+from panelwright.sources.snapshots import SnapshotNotFound, list_runs, read_previous, read_run, write_snapshot
 
 
 def build_tables(prices: DataFrame, macro: DataFrame, annual: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -48,12 +48,13 @@ def refresh(
     """Write every table of one run below ``root`` and return the quality findings.
 
     Each stage is written and read back before the next one uses it. So every stage is computed once although several
-    consumers read it, plans stay small, and a lost executor costs at most one stage.
+    consumers read it, plans stay small, and a lost executor costs at most one stage. A rerun or backfill of an older
+    ``run_date`` reads its own stages and is compared with the run before it; a previous run that cannot be read is a WARNING.
     """
 
     def stored(df: DataFrame, table: str) -> DataFrame:
         write_snapshot(df, root, table, run_date)
-        return read_latest(spark, root, table)
+        return read_run(spark, root, table, run_date)
 
     raw_prices = stored(prices, "prices_raw")
     raw_macro = stored(macro, "macro_raw")
@@ -66,8 +67,10 @@ def refresh(
     panel = stored(attach_regimes(signals, regimes), "panel_regimes")
     stored(rolling_correlations(panel), "rolling_correlations")
     stored(fit_transitions(regimes), "transition_matrix")
-    try:
-        previous = read_previous(spark, root, "master")
-    except SnapshotNotFound:
-        previous = None
-    return run_all_checks(spark, raw_prices, raw_macro, master, previous)
+    previous, unread = None, []
+    if any(r < str(run_date) for r in list_runs(spark, root, "master")):
+        try:
+            previous = read_previous(spark, root, "master", run_date)
+        except SnapshotNotFound as problem:
+            unread = [("WARNING", "row_count_regression", f"previous run cannot be read: {problem}")]
+    return run_all_checks(spark, raw_prices, raw_macro, master, previous).union(spark.createDataFrame(unread, ISSUE_SCHEMA))

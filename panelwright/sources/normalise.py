@@ -71,19 +71,24 @@ def normalise_annual(
     """Rename indicator codes, make the year an integer, drop rows without a usable year."""
     year = year_column or wide.columns[0]
     renamed = wide.withColumnsRenamed({year: "year", **{k: v for k, v in indicators.items() if k in wide.columns}})
-    whole = number_or_null(F.col("year")).cast("int")
+    whole = number_or_null(F.col("year")).try_cast("int")
     return renamed.withColumn("year", whole).where(F.col("year").isNotNull())
 
 
 def between_dates(
-    df: DataFrame, start: date | str | None = None, end: date | str | None = None, column: str = "date"
+    df: DataFrame,
+    start: date | str | None = None,
+    end: date | str | None = None,
+    column: str = "date",
+    inclusive: bool = False,
 ) -> DataFrame:
-    """Rows from ``start`` on and before ``end``; as a plain comparison it is pushed into the scan."""
+    """Rows from ``start`` on and before ``end``, or up to it if ``inclusive``; as a comparison it is pushed into the scan."""
     kept = df
     if start is not None:
         kept = kept.where(F.col(column) >= F.lit(start).cast("date"))
     if end is not None:
-        kept = kept.where(F.col(column) < F.lit(end).cast("date"))
+        last = F.lit(end).cast("date")
+        kept = kept.where(F.col(column) <= last if inclusive else F.col(column) < last)
     return kept
 
 

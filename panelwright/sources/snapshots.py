@@ -19,32 +19,54 @@ class SnapshotNotFound(FileNotFoundError):
     pass
 
 
+def _folder(root: str, table: str, run_date: date | str) -> str:
+    return f"{root}/{table}/{RUN}={run_date}"
+
+
 def write_snapshot(df: DataFrame, root: str, table: str, run_date: date | str) -> None:
-    """Write, or replace, one run of a table. Other runs are left alone."""
-    dated = df.withColumn(RUN, F.lit(run_date).cast("date"))
-    dated.write.mode("overwrite").partitionBy(RUN).option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{table}")
+    """Write, or replace, one run of a table in a folder of its own, also when it has no rows. Other runs are left alone."""
+    df.drop(RUN).write.mode("overwrite").parquet(_folder(root, table, run_date))
 
 
-def read_all_runs(spark: SparkSession, root: str, table: str) -> DataFrame:
+def list_runs(spark: SparkSession, root: str, table: str) -> list[str]:
+    """Run dates of a table, oldest first, from the names of its folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        raise SnapshotNotFound(f"no snapshot of '{table}' under {root}; run the refresh first")
+    names = [f.getPath().getName() for f in files.listStatus(path) if f.isDirectory()]
+    runs = sorted(n.removeprefix(f"{RUN}=") for n in names if n.startswith(f"{RUN}="))
+    if not runs:
+        raise SnapshotNotFound(f"no snapshot of '{table}' under {root}; run the refresh first")
+    return runs
+
+
+def read_run(spark: SparkSession, root: str, table: str, run_date: date | str) -> DataFrame:
+    """One run, with the columns that it was written with."""
     try:
-        return spark.read.parquet(f"{root}/{table}")
+        return spark.read.parquet(_folder(root, table, run_date))
     except AnalysisException as problem:
-        raise SnapshotNotFound(f"no snapshot of '{table}' under {root}; run the refresh first") from problem
+        raise SnapshotNotFound(f"no run {run_date} of '{table}' under {root} can be read") from problem
+
+
+def read_all_runs(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Rows of all runs with their ``run_date``; columns that only some runs have are NULL in the others."""
+    list_runs(spark, root, table)
+    return spark.read.option("mergeSchema", True).parquet(f"{root}/{table}")
 
 
 def read_latest(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Latest run. The run date comes from a scan of the partition column alone; other partitions are not read."""
-    runs = read_all_runs(spark, root, table)
-    latest = runs.agg(F.max(RUN)).scalar()
-    return runs.where(F.col(RUN) == latest).drop(RUN)
-
-
-def read_previous(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The run before the latest; empty when there is only one."""
-    runs = read_all_runs(spark, root, table)
-    latest = runs.agg(F.max(RUN)).scalar()
-    previous = runs.where(F.col(RUN) < latest).agg(F.max(RUN)).scalar()
-    return runs.where(F.col(RUN) == previous).drop(RUN)
+    """Latest run. It is found by folder names; the files of other runs are not touched."""
+    return read_run(spark, root, table, list_runs(spark, root, table)[-1])
+
+
+def read_previous(spark: SparkSession, root: str, table: str, before: date | str | None = None) -> DataFrame:
+    """The last run before ``before`` (the latest run if not given); empty when there is none."""
+    runs = list_runs(spark, root, table)
+    older = [r for r in runs if r < str(before if before is not None else runs[-1])]
+    if not older:
+        return read_run(spark, root, table, runs[0]).limit(0)
+    return read_run(spark, root, table, older[-1])
 
 
 def read_best_panel(spark: SparkSession, root: str, tables: Sequence[str] = BEST_FIRST) -> DataFrame:

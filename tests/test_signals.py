@@ -170,3 +170,19 @@ def test_momentum_over_a_gap(series):
     assert column(signals.momentum(panel, windows={"m": 1}), "m") == [None] * 4
     padded = column(signals.momentum(panel, windows={"m": 1}, pad=True), "m")
     assert padded == [None, None, 0.0, pytest.approx(0.21)]
+
+
+@pytest.mark.parametrize("rows", [1, 2, 14, 100, 200, 500])
+def test_rsi_of_any_length_equals_a_plain_loop(series, rows):
+    """Over many blocks, with a long standstill that leaves whole blocks without a move."""
+    closes = [100 + 7 * math.sin(k * 0.7) + (k * 37 % 11) * 0.3 for k in range(4000)]
+    closes += [closes[-1]] * 900 + [closes[-1] + 1 + math.cos(k) for k in range(1100)]
+    out = column(signals.rsi(series({"A": closes}), rows=rows, column="x"), "x")
+    decay, up, down = (rows - 1) / rows, 0.0, 0.0
+    for k in range(1, len(closes)):
+        change = closes[k] - closes[k - 1]
+        up, down = up * decay + max(change, 0), down * decay + max(-change, 0)
+        if k < rows:
+            assert out[k] is None
+        elif up + down > 1e-280:
+            assert out[k] == pytest.approx(100 - 100 / (1 + up / down) if down else 100.0, abs=1e-7)

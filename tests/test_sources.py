@@ -142,3 +142,31 @@ def test_latest_regime(spark, monthly):
     out = views.latest_regime(table).first()
     assert out["composite_regime"] == "HIKING_LOW_INFLATION" and out["regime_duration"] == 2 and out["tbill_rate"] == 7.0
     assert views.macro_view(monthly({"tbill_rate": [5, 6]})).columns == ["date", "tbill_rate"]
+
+
+def test_runs_do_not_mix(spark, tmp_path, series):
+    root = str(tmp_path)
+    snapshots.write_snapshot(series({"A": [1, 2]}), root, "master", "2024-01-02")
+    snapshots.write_snapshot(series({"A": [1, 2, 3]}).withColumn("added", F.lit(1)), root, "master", "2024-01-03")
+    assert "added" in snapshots.read_latest(spark, root, "master").columns
+    assert "added" not in snapshots.read_run(spark, root, "master", "2024-01-02").columns
+    snapshots.write_snapshot(series({"A": [1]}).limit(0), root, "master", "2024-01-04")
+    assert snapshots.read_latest(spark, root, "master").count() == 0
+    assert snapshots.read_previous(spark, root, "master").count() == 3
+    assert snapshots.read_previous(spark, root, "master", "2024-01-03").count() == 2
+    assert {r[0].isoformat() for r in snapshots.read_all_runs(spark, root, "master").select("run_date").distinct().collect()} == {
+        "2024-01-02",
+        "2024-01-03",
+    }
+
+
+def test_bad_years_go(spark):
+    rows = [("2020", 1.0), ("99999999999", 2.0), ("x", 3.0), (None, 4.0)]
+    out = normalise.normalise_annual(spark.createDataFrame(rows, "year string, gdp double"), {})
+    assert [r["year"] for r in out.collect()] == [2020]
+
+
+def test_inclusive_end(series):
+    frame = series({"A": [1, 2, 3]})
+    assert normalise.between_dates(frame, "2020-01-01", "2020-01-02", inclusive=True).count() == 2
+    assert normalise.between_dates(frame, "2020-01-01", "2020-01-02").count() == 1
