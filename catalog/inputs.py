@@ -7,6 +7,9 @@ annual  one row per order year
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one of ``spark.checkpoint.dir``; where that is unset, as in local tests, in our own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume-weighted close and price range per series and day.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelwright.functions import fixed_values as fixed
 from panelwright.functions.fixed_values import CORRELATION_VARIABLES, MOMENTUM_ROWS, REGIME_ORDER
 
 CUT_DAY = "1999-07-01"
@@ -322,6 +323,76 @@ def rsi_sql(rows: int) -> str:
     )
 
 
+STANCES, LEVELS = ("HIKING", "CUTTING", "NEUTRAL"), ("LOW_INFLATION", "TARGET_INFLATION", "HIGH_INFLATION", "nan")
+#: All labels that can occur; one that does not occur has a constant flag, whose coefficient the penalty holds at zero.
+MODEL_INPUTS = (*fixed.MODEL_FEATURES, *[f"regime_{a}_{b}" for a in STANCES for b in LEVELS])
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in (*fixed.MODEL_FEATURES, "composite_regime"))
+
+
+def model_ctes(train: str, iterations: int) -> dict[str, str]:
+    """Logistic models by Newton steps from zero, one per ``fit`` of the rows (fit, outperformed, features, composite_regime).
+
+    The last table is ``fitted`` (fit, w, mean, scale): weights on the standardised scale, intercept first. Each step sums
+    gradient and curvature by aggregation and solves the system by Gauss-Jordan elimination over lists.
+    """
+    k = len(MODEL_INPUTS)
+    raw = [f"CAST({c} AS DOUBLE)" for c in fixed.MODEL_FEATURES]
+    raw += [f"CAST(composite_regime = '{c.removeprefix('regime_')}' AS DOUBLE)" for c in MODEL_INPUTS[len(raw) :]]
+    z = [f"z{j}" for j in range(k + 1)]
+    score = " + ".join(f"w[{j + 1}] * {c}" for j, c in enumerate(z))
+    cell = {(i, j): f"sum(v * {z[i]} * {z[j]})" for i in range(k + 1) for j in range(i, k + 1)}
+    system = ", ".join(
+        "[" + ", ".join([*(cell[min(i, j), max(i, j)] + (" + 1" if i == j > 0 else "") for j in range(k + 1)), f"sum(e * {z[i]}) + {'any_value(w)[%d]' % (i + 1) if i else '0'}"]) + "]"
+        for i in range(k + 1)
+    )
+    out = {
+        "train": f"SELECT fit, CAST(outperformed AS DOUBLE) AS y, {', '.join(f'{c} AS x{j}' for j, c in enumerate(raw, 1))} FROM ({train}) WHERE {COMPLETE} AND outperformed IS NOT NULL",
+        "moments": f"""SELECT fit, [{", ".join(f"avg(x{j})" for j in range(1, k + 1))}] AS mean,
+            [{", ".join(f"CASE WHEN stddev_pop(x{j}) > 1e-9 THEN stddev_pop(x{j}) ELSE 1 END" for j in range(1, k + 1))}] AS scale
+            FROM train GROUP BY fit HAVING min(y) < max(y)""",
+        "standard": f"SELECT fit, y, 1::DOUBLE AS z0, {', '.join(f'(x{j} - mean[{j}]) / scale[{j}] AS z{j}' for j in range(1, k + 1))} FROM train JOIN moments USING (fit)",
+        "weights0": f"SELECT fit, [0::DOUBLE for j in range({k + 1})] AS w FROM moments",
+    }
+    for n in range(iterations):
+        out[f"system{n}"] = f"""SELECT fit, any_value(w) AS w, [{system}] AS m
+            FROM (SELECT *, q - y AS e, q * (1 - q) AS v FROM (SELECT *, 1 / (1 + exp(-({score}))) AS q FROM standard JOIN weights{n} USING (fit))) GROUP BY fit"""
+        out[f"weights{n + 1}"] = f"""WITH RECURSIVE turn(fit, w, i, m) AS (
+              SELECT fit, w, 0, m FROM system{n}
+              UNION ALL
+              SELECT fit, w, i + 1, [CASE WHEN r = i + 1 THEN [m[r][c] / m[r][r] for c in range(1, {k + 3})]
+                                         ELSE [m[r][c] - m[r][i + 1] * m[i + 1][c] / m[i + 1][i + 1] for c in range(1, {k + 3})] END for r in range(1, {k + 2})]
+              FROM turn WHERE i < {k + 1})
+            SELECT fit, [w[r] - m[r][{k + 2}] for r in range(1, {k + 2})] AS w FROM turn WHERE i = {k + 1}"""
+    out["fitted"] = f"SELECT fit, w, mean, scale FROM weights{iterations} JOIN moments USING (fit)"
+    return out
+
+
+def chance(prefix: str = "") -> str:
+    """Probability by a row of ``fitted``; null where a feature or the regime is missing."""
+    raw = [f"CAST({c} AS DOUBLE)" for c in fixed.MODEL_FEATURES]
+    raw += [f"CAST(composite_regime = '{c.removeprefix('regime_')}' AS DOUBLE)" for c in MODEL_INPUTS[len(raw) :]]
+    total = " + ".join(f"w[{j + 1}] * ({c} - mean[{j}]) / scale[{j}]" for j, c in enumerate(raw, 1))
+    return f"CASE WHEN {COMPLETE} THEN 1 / (1 + exp(-(w[1] + {total}))) END"
+
+
+def model_sql(final: str, train: str, iterations: int) -> str:
+    base = with_ctes("", "features", "rebalances").rstrip()
+    base = base.replace("WITH ", "WITH RECURSIVE ", 1).replace("features AS (", "features AS MATERIALIZED (", 1)
+    steps = ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in model_ctes(train, iterations).items())
+    return f"{base},\n{steps}\n{final}"
+
+
+def tick_rsi_sql(rows: int) -> str:
+    """Every earlier change with its full weight, quadratic, along the events of each type."""
+    return f"""WITH moved AS (SELECT event_id, event_type, row_number() OVER w AS rn, value - lag(value) OVER w AS change
+                            FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+        SELECT event_id, round(CASE WHEN known < {rows} THEN NULL WHEN down = 0 AND up > 0 THEN 100 WHEN up = 0 AND down > 0 THEN 0
+                   WHEN up > 0 AND down > 0 THEN 100 - 100 / (1 + up / down) END, 6) AS rsi_{rows}
+        FROM (SELECT a.event_id, count(b.change) AS known, sum(greatest(b.change, 0) * pow({rows - 1}.0 / {rows}.0, a.rn - b.rn)) AS up,
+                     sum(greatest(-b.change, 0) * pow({rows - 1}.0 / {rows}.0, a.rn - b.rn)) AS down
+              FROM moved a JOIN moved b ON a.event_type = b.event_type AND b.rn <= a.rn GROUP BY a.event_id)"""
+
+
 DERIVED = ("zar_usd_mom_pct", "cpi_yoy_pct", "real_tbill_rate", "yield_curve_spread")
 FLAGS = ", ".join(
     f"CASE WHEN composite_regime = '{v}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS regime_{v}" for v in REGIME_ORDER
@@ -667,7 +738,7 @@ ORACLES: dict[str, str] = {
         """SELECT bin, round(lo + (hi - lo) / 30 * (bin - 1), 6) AS low_edge, round(lo + (hi - lo) / 30 * bin, 6) AS high_edge,
                   (SELECT count(*) FROM results WHERE CAST(least(coalesce(floor((net_excess_return - lo) / nullif(hi - lo, 0) * 30), 0), 29) + 1 AS INTEGER) = bin) AS n
            FROM (SELECT min(net_excess_return) AS lo, max(net_excess_return) AS hi FROM results),
-                (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS bin)""",
+                (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS bin) WHERE lo < hi OR lo = hi AND bin = 1""",
         "results",
     ),
     "feature_matrix": with_ctes(
@@ -719,4 +790,76 @@ ORACLES: dict[str, str] = {
                    z AS (PARTITION BY p.ticker ORDER BY p.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
         "returns", "score", "averages", "rsi", "macro", "regimes", "annual",
     ),
+    "fit_coefficients": model_sql(
+        f"""SELECT feature, round(coefficient, 5) AS coefficient
+            FROM (SELECT unnest([{", ".join(f"'{c}'" for c in MODEL_INPUTS)}]) AS feature, unnest(w[2:]) AS coefficient FROM fitted)
+            WHERE NOT starts_with(feature, 'regime_') OR feature IN (SELECT DISTINCT 'regime_' || composite_regime FROM features
+                                                                   WHERE {COMPLETE} AND outperformed IS NOT NULL)""",
+        "SELECT 0 AS fit, * FROM features",
+        10,
+    ),
+    "predict_proba": model_sql(
+        f"""SELECT ticker, date, round({chance()}, 5) AS predicted_proba, outperformed FROM features, fitted WHERE date >= DATE '1999-07-01'""",
+        "SELECT 0 AS fit, * FROM features WHERE date < DATE '1999-07-01'",
+        10,
+    ),
+    "walk_forward": model_sql(
+        f"""SELECT rebalance_date, picked_tickers, {r("portfolio_return", "alsi_return", "excess_return")},
+                   round(excess_return - CAST(0.0015 AS DOUBLE), 6) AS net_excess_return, coalesce(excess_return > 0, false) AS beat_alsi, true AS converged
+            FROM (SELECT *, portfolio_return - alsi_return AS excess_return
+                  FROM (SELECT fit AS rebalance_date, string_agg(ticker, ', ' ORDER BY place) AS picked_tickers, avg(fwd_return_21d) AS portfolio_return,
+                               any_value(alsi_fwd_return_21d) AS alsi_return
+                        FROM (SELECT fit, ticker, fwd_return_21d, alsi_fwd_return_21d, row_number() OVER (PARTITION BY fit ORDER BY p DESC, ticker) AS place
+                              FROM (SELECT fit, ticker, {chance()} AS p FROM features JOIN fitted ON date = fit) JOIN labels21 USING (ticker)
+                              WHERE labels21.date = fit AND p IS NOT NULL AND fwd_return_21d IS NOT NULL AND ticker <> '^INDEX')
+                        WHERE place <= 5 GROUP BY fit HAVING count(*) = 5))""",
+        "SELECT rebalance_date AS fit, f.* FROM rebalances JOIN features f ON f.date < rebalance_date",
+        10,
+    ),
+    "walk_forward_fits": model_sql(
+        "SELECT fit AS rebalance_date, count(*) AS train_rows, true AS converged FROM train JOIN fitted USING (fit) GROUP BY fit",
+        "SELECT rebalance_date AS fit, f.* FROM rebalances JOIN features f ON f.date < rebalance_date",
+        1,
+    ),
+    "walk_forward_coefficients": model_sql(
+        f"""SELECT rebalance_date, feature, round(coefficient, 5) AS coefficient
+            FROM (SELECT fit AS rebalance_date, unnest([{", ".join(f"'{c}'" for c in MODEL_INPUTS)}]) AS feature, unnest(w[2:]) AS coefficient FROM fitted)
+            WHERE NOT starts_with(feature, 'regime_') OR feature IN (SELECT DISTINCT 'regime_' || composite_regime FROM features
+                                                                   WHERE {COMPLETE} AND outperformed IS NOT NULL)""",
+        "SELECT rebalance_date AS fit, f.* FROM rebalances JOIN features f ON f.date < rebalance_date",
+        10,
+    ),
+    "freshness_report": with_ctes(
+        """SELECT 'prices' AS table_name, CAST(max(date) AS VARCHAR) AS latest, count(*) AS n_rows, 10 AS file_age_days, true AS stale FROM prices
+           UNION ALL SELECT 'macro', NULL, NULL, NULL, NULL
+           UNION ALL SELECT 'annual', CAST(max(year) AS VARCHAR), count(*), 10, true FROM annual""",
+        "prices", "annual",
+    ),
+    "tick_rsi": tick_rsi_sql(14),
+    "tick_rsi_200": tick_rsi_sql(200),
+    "tick_compounded": """SELECT event_id, round(product(1 + (value / 100000 - 0.0005::DOUBLE)) OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1, 6) AS own,
+                  round(product(1 + (value / 100000 - 0.0005::DOUBLE)) OVER (ORDER BY ts, event_id) - 1, 6) AS overall FROM events""",
+    "tick_filled": """SELECT event_id, CASE WHEN count(v) OVER near > 0 THEN last_value(v IGNORE NULLS) OVER w END AS close,
+                  last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last
+           FROM (SELECT *, CASE WHEN value < 20 THEN value END AS v FROM events)
+           WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),
+                  near AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
+    "tick_spell_rows": """WITH moved AS (SELECT event_id, event_type, ts, CASE WHEN side IS DISTINCT FROM lag(side) OVER (PARTITION BY event_type ORDER BY ts, event_id)
+                                 THEN 1 ELSE 0 END AS state_changed
+                  FROM (SELECT *, value >= 50 AS side FROM events)),
+           numbered AS (SELECT *, (sum(state_changed) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS spell FROM moved)
+           SELECT event_id, state_changed, spell, row_number() OVER (PARTITION BY event_type, spell ORDER BY ts, event_id) AS spell_duration FROM numbered""",
+    "event_spells": """SELECT spell, any_value(event_type) AS event_type, min(event_id) AS start, max(event_id) AS "end", count(*) AS n_rows
+           FROM (SELECT *, (sum(c) OVER (ORDER BY event_id))::BIGINT AS spell
+                 FROM (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS c FROM events))
+           GROUP BY spell""",
+    "asof_clicks": """SELECT p.event_id, p.ts, p.user_id, p.value, c.event_id AS click_id, c.value AS click_value, g.event_id AS signup_id
+           FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+           ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts
+           ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') g ON p.ts >= g.ts""",
+    "price_quantiles": """WITH share AS (SELECT unnest([0, 0.05, 0.25, 0.5, 0.75, 0.95, 1])::DOUBLE AS share),
+           given AS (SELECT l_returnflag, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'all', l_extendedprice FROM lineitem),
+           held AS (SELECT l_returnflag, list(v ORDER BY v) AS l FROM given GROUP BY 1)
+           SELECT l_returnflag, share, round(l[1 + floor(r)::INT] + (r - floor(r)) * (l[1 + ceil(r)::INT] - l[1 + floor(r)::INT]), 6) AS value
+           FROM (SELECT *, share * (len(l) - 1) AS r FROM held, share)""",
 }

@@ -23,6 +23,7 @@ from panelwright.operators import (
     quality,
     regime_returns,
     regimes,
+    scan,
     segments,
     signals,
     views,
@@ -184,6 +185,20 @@ def freshness(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def freshness_report(s, d):
+    """Two committed runs, and one that was broken off and so does not count, reported ten days later."""
+    root = inputs.scratch_folder(s, "freshness")
+    snapshots.write_snapshot(inputs.prices(s, d).where(F.col("date") < CUT_DAY), root, "prices", "2001-01-01")
+    run = snapshots.Run(s, root, "2001-02-01")
+    run.write(inputs.prices(s, d), "prices")
+    run.write(inputs.annual(s, d), "annual")
+    run.commit()
+    broken = snapshots.Run(s, root, "2001-03-01")
+    broken.write(inputs.annual(s, d).limit(0), "prices")
+    return snapshots.freshness_report(s, root, ["prices", "macro", "annual"], F.date_add(F.current_date(), 10))
+
+
 # Prices ---------------------------------------------------------------------------------------------------------------
 
 
@@ -492,6 +507,67 @@ def tick_forward_return(s, d):
     return rounded(out.select("event_id", "fwd_return_21d"), "fwd_return_21d")
 
 
+@query
+def tick_rsi(s, d):
+    return rounded(scan.long_rsi(ticks(s, d), ["ticker"], ["ts", "event_id"], 14).select("event_id", "rsi_14"), "rsi_14")
+
+
+@query
+def tick_rsi_200(s, d):
+    return rounded(scan.long_rsi(ticks(s, d), ["ticker"], ["ts", "event_id"], 200).select("event_id", "rsi_200"), "rsi_200")
+
+
+@query
+def tick_compounded(s, d):
+    """Values as returns in thousandths of a percent, compounded along each series and along all events as one."""
+    moved = ticks(s, d).withColumn("step", F.col("close") / 1e5 - 5e-4)
+    own = scan.compounded(moved, ["ticker"], ["ts", "event_id"], {"step": "own"})
+    both = scan.compounded(own, [], ["ts", "event_id"], {"step": "overall"})
+    return rounded(both.select("event_id", "own", "overall"), "own", "overall")
+
+
+@query
+def tick_filled(s, d):
+    """Values of 20 and more count as missing; the last known one stands for up to five rows."""
+    holes = ticks(s, d).withColumn("close", F.when(F.col("close") < 20, F.col("close")))
+    filled = scan.filled_forward(holes, ["ticker"], ["ts", "event_id"], ["close"], fixed.PRICE_FILL_LIMIT)
+    unbounded = scan.filled_forward(holes.select("event_id", "ticker", "ts", F.col("close").alias("last")), [], ["ts", "event_id"], ["last"])
+    return filled.select("event_id", "close").join(unbounded.select("event_id", "last"), "event_id")
+
+
+@query
+def tick_spell_rows(s, d):
+    """Runs of values on one side of 50, per event type: changes, numbers and durations of all rows."""
+    sided = ticks(s, d).withColumn("side", F.when(F.col("close") >= 50, "high").otherwise("low"))
+    return scan.numbered_spells(sided, ["ticker"], ["ts", "event_id"], "side").select("event_id", "state_changed", "spell", "spell_duration")
+
+
+@query
+def event_spells(s, d):
+    """Runs of one event type in the whole stream, which is a single series."""
+    events = inputs.table(s, d, "events").select("ts", "event_id", "event_type")
+    return scan.long_spells(events, [], ["event_id"], "event_type")
+
+
+@query
+def asof_clicks(s, d):
+    """Purchases with the user's last click, and with the last signup of anyone, at the moment they were made."""
+    events = inputs.table(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    signups = events.where("event_type = 'signup'").select("ts", F.col("event_id").alias("signup_id"))
+    bought = events.where("event_type = 'purchase'").drop("event_type")
+    return scan.asof_ordered(scan.asof_ordered(bought, clicks, "ts", ["user_id"]), signups, "ts")
+
+
+@query
+def price_quantiles(s, d):
+    lines = inputs.table(s, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    shares = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+    own = scan.exact_quantiles(lines, "l_extendedprice", shares, ["l_returnflag"])
+    overall = scan.exact_quantiles(lines, "l_extendedprice", shares).withColumn("l_returnflag", F.lit("all"))
+    return rounded(own.unionByName(overall), "value")
+
+
 # Quality --------------------------------------------------------------------------------------------------------------
 
 
@@ -646,19 +722,37 @@ def class_check(s, d):
 
 @query
 def fit_coefficients(s, d):
-    return predictor.fit_model(model_panel(s, d)).coefficient_table(s)
+    return rounded(predictor.fit_model(model_panel(s, d)).coefficient_table(s), "coefficient", places=5)
 
 
 @query
 def predict_proba(s, d):
     """Fitted before the cut day, scored from then on."""
     train, test = predictor.chronological_split(model_panel(s, d), F.lit(CUT_DAY).cast("date"))
-    return predictor.fit_model(train).predict(test).select("ticker", "date", "predicted_proba", "outperformed")
+    out = predictor.fit_model(train).predict(test).select("ticker", "date", "predicted_proba", "outperformed")
+    return rounded(out, "predicted_proba", places=5)
 
 
 @query
 def walk_forward(s, d):
-    return walkforward.walk_forward(model_panel(s, d), index_ticker=INDEX)
+    out = walkforward.walk_forward(model_panel(s, d), index_ticker=INDEX, with_status=True)
+    return rounded(out, "portfolio_return", "alsi_return", "excess_return", "net_excess_return")
+
+
+def dated_models(s: SparkSession, d: str) -> walkforward.DatedModels:
+    panel = model_panel(s, d)
+    return walkforward.fit_dated_models(panel, backtest.rebalance_dates(panel))
+
+
+@query
+def walk_forward_fits(s, d):
+    """How the fit of each rebalance date ended."""
+    return dated_models(s, d).fit_table(s).select("rebalance_date", "train_rows", "converged")
+
+
+@query
+def walk_forward_coefficients(s, d):
+    return rounded(dated_models(s, d).coefficient_table(s), "coefficient", places=5)
 
 
 @query

@@ -166,7 +166,8 @@ def return_distribution(results: DataFrame, column: str = "net_excess_return") -
 def return_histogram(results: DataFrame, column: str = "net_excess_return", bins: int = 30) -> DataFrame:
     """Counts in equal bins between the smallest and the largest value; the largest falls into the last bin.
 
-    All bins are there, with their edges, also those without a value; no value at all: no rows.
+    All bins are there, with their edges, also those without a value. Equal values span nothing and are one bin, without
+    width; no value at all: no rows.
     """
     value = F.col(column).cast("double")
     span = results.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
@@ -174,7 +175,8 @@ def return_histogram(results: DataFrame, column: str = "net_excess_return", bins
     place = F.floor(ratio(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")) * bins)
     bucket = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)) + 1
     counts = ranged.groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = span.where(F.col("_low").isNotNull()).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    last = F.when(F.col("_low") < F.col("_high"), bins).otherwise(1)
+    every = span.where(F.col("_low").isNotNull()).withColumn("bin", F.explode(F.sequence(F.lit(1), last)))
     rows = every.join(counts, "bin", "left")
     width = (F.col("_high") - F.col("_low")) / bins
     return rows.select(

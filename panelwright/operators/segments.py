@@ -63,12 +63,22 @@ def in_segments(
     ``transform`` may look at most ``back`` rows behind and ``ahead`` rows in front of each row, and must keep one
     output row per input row. A segment never holds more than ``rows_per_segment + back + ahead`` rows.
     """
+    return by_segment(with_positions(rows, keys, order), transform, keys, back, ahead, rows_per_segment).drop(POSITION)
+
+
+def by_segment(
+    positioned: DataFrame,
+    transform: Callable[[DataFrame, Sequence[str]], DataFrame],
+    keys: Sequence[str],
+    back: int = 0,
+    ahead: int = 0,
+    rows_per_segment: int = 100_000,
+) -> DataFrame:
+    """``in_segments`` for rows that have their positions already, and keep them."""
     size = F.lit(rows_per_segment)
     position = F.col(POSITION)
     first = F.floor((position - ahead) / size)
     last = F.floor((position + back) / size)
-    spread = with_positions(rows, keys, order).withColumn(
-        SEGMENT, F.explode(F.sequence(F.greatest(first, F.lit(0)), last))
-    )
+    spread = positioned.withColumn(SEGMENT, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     done = transform(spread, [*keys, SEGMENT])
-    return done.where(F.floor(position / size) == F.col(SEGMENT)).drop(POSITION, SEGMENT)
+    return done.where(F.floor(position / size) == F.col(SEGMENT)).drop(SEGMENT)

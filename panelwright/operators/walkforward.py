@@ -1,33 +1,29 @@
 """Walk-forward evaluation: one logistic model per rebalance date, all dates fitted together.
 
 Each date's model is trained on all earlier rows. Fitting date by date would read the training table once per date and
-iteration. Here every Newton iteration is one pass for all dates: a task turns its rows into the loss, gradient and
-curvature sums of every date by matrix products and emits one small row per date, Spark adds these up, and the driver
-solves one system of about 15 unknowns per date. Training rows are never shuffled or multiplied by the dates; the
-driver sees coefficients only. The number of dates is the number of months.
+iteration; here a Newton iteration is one pass for all dates (see ``newton``). The number of dates is the number of months.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions import fixed_values as fixed
 from panelwright.functions.lineage import keep_for_reuse
 from panelwright.operators.backtest import period_results, rebalance_dates, top_picks
+from panelwright.operators.newton import GRADIENT_TOLERANCE, MAX_ITERATIONS, Fit, cumulative_moments, fit_all
 from panelwright.operators.predictor import LABEL, feature_columns, logistic, regime_vocabulary, training_rows
 
-MAX_ITERATIONS = 60
-GRADIENT_TOLERANCE = 1e-7
 RESULT_SCHEMA = (
     "rebalance_date date, picked_tickers string, portfolio_return double, alsi_return double, "
     "excess_return double, net_excess_return double, beat_alsi boolean"
 )
+FIT_SCHEMA = "rebalance_date date, train_rows bigint, iterations int, gradient_norm double, converged boolean"
 
 
 @dataclass(frozen=True)
@@ -39,6 +35,8 @@ class DatedModels:
     intercepts: np.ndarray
     weights: np.ndarray
     coefficients: np.ndarray  # on the standardised scale, comparable between features
+    train_rows: list[int]
+    fits: list[Fit]
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -47,67 +45,14 @@ class DatedModels:
         ]
         return spark.createDataFrame(rows, "date date, _intercept double, _weights array<double>")
 
+    def fit_table(self, spark: SparkSession) -> DataFrame:
+        """How each date's fit ended: passes over the rows, largest gradient entry, and whether that is small enough."""
+        rows = [(d, n, f.iterations, f.gradient_norm, f.converged) for d, n, f in zip(self.dates, self.train_rows, self.fits, strict=True)]
+        return spark.createDataFrame(rows, FIT_SCHEMA)
 
-def _sums_per_date(
-    batches: Iterable[pa.RecordBatch], active: np.ndarray, weights: np.ndarray, width: int
-) -> Iterator[pa.RecordBatch]:
-    """Loss, gradient and upper curvature triangle of each active date over this task's rows.
-
-    ``weights`` has one row (intercept, slopes) per active date; a row counts for a date from its ``_period`` on.
-    """
-    upper = np.triu_indices(width)
-    total = np.zeros((len(active), 1 + width + len(upper[0])))
-    for batch in batches:
-        columns = [np.asarray(batch.column(k), dtype=float) for k in range(batch.num_columns)]
-        period, label = columns[0], columns[1]
-        x = np.column_stack([np.ones(len(label)), *columns[2:]])
-        inside = period[:, None] <= active[None, :]
-        score = x @ weights.T
-        chance = 1.0 / (1.0 + np.exp(-np.clip(score, -700, 700)))
-        loss = np.where(inside, np.logaddexp(0.0, score) - label[:, None] * score, 0.0)
-        residual = np.where(inside, chance - label[:, None], 0.0)
-        curvature = np.where(inside, chance * (1.0 - chance), 0.0)
-        total[:, 0] += loss.sum(axis=0)
-        total[:, 1 : 1 + width] += residual.T @ x
-        total[:, 1 + width :] += curvature.T @ (x[:, upper[0]] * x[:, upper[1]])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(active.astype(np.int32)), pa.array(list(total), type=pa.list_(pa.float64()))], ["at", "sums"]
-    )
-
-
-def _evaluate(rows: DataFrame, active: np.ndarray, weights: np.ndarray, width: int) -> dict[int, np.ndarray]:
-    length = 1 + width + width * (width + 1) // 2
-    partial = rows.mapInArrow(
-        lambda batches: _sums_per_date(batches, active, weights, width), "at int, sums array<double>"
-    )
-    added = partial.groupBy("at").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(length)]).alias("sums"))
-    return {r["at"]: np.array(r["sums"]) for r in added.collect()}
-
-
-def _cumulative_moments(rows: DataFrame, names: Sequence[str], n_dates: int) -> list[tuple]:
-    """Per date: number of rows, number of positives, mean and population deviation of each feature."""
-    per_period = rows.groupBy("_period").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("_label").alias("positives"),
-        F.array(*[F.avg(c) for c in names]).alias("means"),
-        F.array(*[F.var_pop(c) for c in names]).alias("variances"),
-    )
-    found = {r["_period"]: r for r in per_period.collect()}
-    n, positives = 0, 0.0
-    mean, squares = np.zeros(len(names)), np.zeros(len(names))
-    moments = []
-    for at in range(n_dates):
-        if at in found:
-            part = found[at]
-            m, other = part["n"], np.array(part["means"])
-            delta = other - mean
-            squares = squares + np.array(part["variances"]) * m + delta**2 * (n * m / (n + m))
-            mean = mean + delta * (m / (n + m))
-            n, positives = n + m, positives + part["positives"]
-        deviation = np.sqrt(squares / n) if n else np.ones(len(names))
-        # A flag that is constant so far has zero deviation up to rounding; it is scaled by 1 and gets coefficient 0.
-        moments.append((n, positives, mean.copy(), np.where(deviation > 1e-9, deviation, 1.0)))
-    return moments
+    def coefficient_table(self, spark: SparkSession) -> DataFrame:
+        rows = [(d, n, float(v)) for d, w in zip(self.dates, self.coefficients, strict=True) for n, v in zip(self.names, w, strict=True)]
+        return spark.createDataFrame(rows, "rebalance_date date, feature string, coefficient double")
 
 
 def fit_dated_models(
@@ -115,10 +60,13 @@ def fit_dated_models(
     dates: DataFrame,
     features: Sequence[str] = fixed.MODEL_FEATURES,
     c: float = 1.0,
+    max_iterations: int = MAX_ITERATIONS,
+    tolerance: float = GRADIENT_TOLERANCE,
 ) -> DatedModels | None:
     """Fit one model per row of ``dates`` (rebalance_date, cutoff) on the panel rows dated before its cutoff.
 
-    Dates whose training rows lack one of the classes get no model. None is returned when no date can be fitted.
+    Dates whose training rows lack one of the classes get no model. None is returned when no date can be fitted. A date
+    that has not converged within ``max_iterations`` keeps its best weights and is marked in ``fit_table``.
     """
     schedule = [r for r in dates.orderBy("rebalance_date").collect() if r["cutoff"] is not None]
     usable = training_rows(panel, features)
@@ -127,70 +75,26 @@ def fit_dated_models(
         return None
     columns = feature_columns(features, vocabulary)
     names = list(columns)
-    cutoffs = F.array(*[F.lit(r["cutoff"]) for r in schedule])
     # First date whose training set contains the day; the map has one row per calendar day.
-    periods = usable.select("date").distinct().withColumn(
-        "_period", F.size(F.filter(cutoffs, lambda cut: cut <= F.col("date")))
-    )
+    passed = F.array(*[F.when(F.col("_day") >= F.lit(r["cutoff"]), 1) for r in schedule])
+    periods = usable.select(F.col("date").alias("_day")).distinct().withColumn("_period", F.size(F.array_compact(passed)))
     rows = keep_for_reuse(
-        usable.join(F.broadcast(periods), "date")
+        usable.join(F.broadcast(periods), F.col("date") == F.col("_day"))
         .where(F.col("_period") < len(schedule))
         .select("_period", F.col(LABEL).cast("double").alias("_label"), *[columns[n].alias(n) for n in names])
     )
     try:
-        return _newton(rows, [r["rebalance_date"] for r in schedule], names, c)
+        moments = cumulative_moments(rows, names, len(schedule))
+        if not moments:
+            return None
+        fits = fit_all(rows, moments, c, None, max_iterations, tolerance)
     finally:
         rows.unpersist()
-
-
-def _newton(rows: DataFrame, dates: list, names: list[str], c: float) -> DatedModels | None:
-    width = 1 + len(names)
-    moments = _cumulative_moments(rows, names, len(dates))
-    fitted = [at for at, (n, positives, _, _) in enumerate(moments) if 0 < positives < n]
-    if not fitted:
-        return None
-    upper = np.triu_indices(width)
-    penalty = np.diag([0.0] + [1.0 / c] * len(names))
-    # standard = to_standard[at] @ raw, for the vector (1, features).
-    to_standard = {}
-    for at in fitted:
-        _, _, mean, deviation = moments[at]
-        change = np.zeros((width, width))
-        change[0, 0] = 1.0
-        change[1:, 0] = -mean / deviation
-        change[1:, 1:] = np.diag(1.0 / deviation)
-        to_standard[at] = change
-    accepted = {at: (np.zeros(width), np.inf, None) for at in fitted}
-    trial = {at: np.zeros(width) for at in fitted}
-    active = list(fitted)
-    for _ in range(MAX_ITERATIONS):
-        if not active:
-            break
-        raw = np.array([to_standard[at].T @ trial[at] for at in active])
-        sums = _evaluate(rows, np.array(active), raw, width)
-        remaining = []
-        for at in active:
-            change, weights = to_standard[at], trial[at]
-            loss = sums[at][0] + 0.5 * weights @ penalty @ weights
-            best, best_loss, _ = accepted[at]
-            if loss > best_loss + 1e-9 * abs(best_loss):
-                trial[at] = 0.5 * (best + weights)
-                remaining.append(at)
-                continue
-            gradient = change @ sums[at][1 : 1 + width] + penalty @ weights
-            curvature = np.zeros((width, width))
-            curvature[upper] = sums[at][1 + width :]
-            curvature = curvature + np.triu(curvature, 1).T
-            accepted[at] = (weights, loss, gradient)
-            if np.abs(gradient).max() <= GRADIENT_TOLERANCE * max(1.0, moments[at][0]):
-                continue
-            step = np.linalg.solve(change @ curvature @ change.T + penalty + 1e-12 * np.eye(width), gradient)
-            trial[at] = weights - step
-            remaining.append(at)
-        active = remaining
-    standard = np.array([accepted[at][0] for at in fitted])
-    raw = np.array([to_standard[at].T @ accepted[at][0] for at in fitted])
-    return DatedModels([dates[at] for at in fitted], names, raw[:, 0], raw[:, 1:], standard[:, 1:])
+    order = sorted(fits)
+    raw = np.array([moments[at].to_standard().T @ fits[at].weights for at in order])
+    standard = np.array([fits[at].weights for at in order])
+    days = [schedule[at]["rebalance_date"] for at in order]
+    return DatedModels(days, names, raw[:, 0], raw[:, 1:], standard[:, 1:], [int(moments[at].n) for at in order], [fits[at] for at in order])
 
 
 def score_on_dates(
@@ -216,23 +120,29 @@ def walk_forward(
     embargo_rows: int = 0,
     features: Sequence[str] = fixed.MODEL_FEATURES,
     exclude_from_training: Sequence[str] = (),
+    max_iterations: int = MAX_ITERATIONS,
+    with_status: bool = False,
 ) -> DataFrame:
     """Results per rebalance date from a labelled panel with features and regimes.
 
     The index is never picked. Its rows do take part in training unless named in ``exclude_from_training``.
 
-    Dates without a fittable model or with fewer than ``top_n`` scored series are left out.
+    Dates without a fittable model or with fewer than ``top_n`` scored series are left out. With ``with_status``,
+    a last column ``converged`` tells whether the date's fit did within ``max_iterations``.
     """
+    schema = RESULT_SCHEMA + (", converged boolean" if with_status else "")
     needed = ["date", "ticker", *features, "composite_regime", LABEL, "fwd_return_21d", "alsi_fwd_return_21d"]
     rows = keep_for_reuse(panel.select(*needed))
     try:
         trained_on = rows.where(~F.col("ticker").isin(*exclude_from_training)) if exclude_from_training else rows
-        models = fit_dated_models(trained_on, rebalance_dates(rows, min_train_months, embargo_rows), features)
+        models = fit_dated_models(trained_on, rebalance_dates(rows, min_train_months, embargo_rows), features, max_iterations=max_iterations)
         if models is None:
-            return panel.sparkSession.createDataFrame([], RESULT_SCHEMA)
+            return panel.sparkSession.createDataFrame([], schema)
         picks = top_picks(score_on_dates(rows, models, features), "predicted_proba", top_n, index_ticker)
         # One row per month: brought in here, so that the kept rows can be let go.
         results = period_results(picks, cost_bps).collect()
     finally:
         rows.unpersist()
-    return panel.sparkSession.createDataFrame(results, RESULT_SCHEMA)
+    ended = {d: f.converged for d, f in zip(models.dates, models.fits, strict=True)}
+    rows = [(*r, ended[r["rebalance_date"]]) if with_status else tuple(r) for r in results]
+    return panel.sparkSession.createDataFrame(rows, schema)

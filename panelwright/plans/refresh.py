@@ -14,7 +14,7 @@ from panelwright.operators.markov import fit_transitions
 from panelwright.operators.quality import ISSUE_SCHEMA, run_all_checks
 from panelwright.operators.regimes import attach_regimes, classify_regimes
 from panelwright.operators.signals import compute_signals
-from panelwright.sources.snapshots import SnapshotNotFound, list_runs, read_previous, read_run, write_snapshot
+from panelwright.sources.snapshots import Run, SnapshotNotFound, list_runs, read_previous
 
 
 def build_tables(prices: DataFrame, macro: DataFrame, annual: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -48,14 +48,12 @@ def refresh(
     """Write every table of one run below ``root`` and return the quality findings.
 
     Each stage is written and read back before the next one uses it. So every stage is computed once although several
-    consumers read it, plans stay small, and a lost executor costs at most one stage. A rerun or backfill of an older
+    consumers read it, plans stay small, and a lost executor costs at most one stage. All tables are committed together at
+    the end: readers see the run before until then, and for good if this one breaks off. A rerun or backfill of an older
     ``run_date`` reads its own stages and is compared with the run before it; a previous run that cannot be read is a WARNING.
     """
-
-    def stored(df: DataFrame, table: str) -> DataFrame:
-        write_snapshot(df, root, table, run_date)
-        return read_run(spark, root, table, run_date)
-
+    run = Run(spark, root, str(run_date))
+    stored = run.write
     raw_prices = stored(prices, "prices_raw")
     raw_macro = stored(macro, "macro_raw")
     raw_annual = None if annual is None else stored(annual, "annual_raw")
@@ -67,6 +65,7 @@ def refresh(
     panel = stored(attach_regimes(signals, regimes), "panel_regimes")
     stored(rolling_correlations(panel), "rolling_correlations")
     stored(fit_transitions(regimes), "transition_matrix")
+    run.commit()
     previous, unread = None, []
     if any(r < str(run_date) for r in list_runs(spark, root, "master")):
         try:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from test_predictor import FEATURES, matrix_of, newton
 
 from panelwright.operators import backtest, predictor, walkforward
+from panelwright.operators import newton as fits
 
 INDEX = "^I"
 
@@ -156,10 +157,37 @@ def test_cumulative_and_rolling(periods):
     assert rate[:5] == [None] * 5 and rate[5:] == pytest.approx([4 / 6, 5 / 7])
 
 
+def test_unconverged_dates_are_flagged(spark, master):
+    dates = backtest.rebalance_dates(master)
+    full = walkforward.fit_dated_models(master, dates)
+    table = full.fit_table(spark).collect()
+    assert all(r["converged"] and r["gradient_norm"] <= 1e-10 * r["train_rows"] for r in table)
+    # Dates that start from a neighbour's optimum need fewer passes than those that start from zero.
+    passes = [r["iterations"] for r in sorted(table, key=lambda r: r["rebalance_date"])]
+    cold, warm = passes[::fits.STRIDE], [p for k, p in enumerate(passes) if k % fits.STRIDE]
+    assert max(warm) <= max(cold) and sum(warm) / len(warm) < sum(cold) / len(cold)
+    short = walkforward.fit_dated_models(master, dates, max_iterations=2)
+    assert not all(r["converged"] for r in short.fit_table(spark).collect())
+    flagged = walkforward.walk_forward(master, top_n=3, index_ticker=INDEX, max_iterations=2, with_status=True)
+    assert flagged.columns[-1] == "converged" and not all(column(flagged, "converged", "rebalance_date"))
+
+
+def test_start_does_not_change_the_optimum(master):
+    dates = backtest.rebalance_dates(master)
+    warm = walkforward.fit_dated_models(master, dates)
+    stride, fits.STRIDE = fits.STRIDE, 1
+    try:
+        cold = walkforward.fit_dated_models(master, dates)
+    finally:
+        fits.STRIDE = stride
+    assert warm.coefficients == pytest.approx(cold.coefficients, abs=1e-7)
+
+
 def test_distribution_and_histogram(periods):
     df = periods([k / 100 for k in range(61)])
     out = backtest.return_distribution(df, "excess_return").first()
     assert out["count"] == 61 and out["p50"] == pytest.approx(0.30) and out["p25"] == pytest.approx(0.15)
     bins = backtest.return_histogram(df, "excess_return")
     assert sum(column(bins, "n", "bin")) == 61 and column(bins, "bin", "bin")[-1] == 30
-    assert [tuple(r) for r in backtest.return_histogram(periods([0.1] * 4), "excess_return").collect()] == [(1, 4)]
+    assert [tuple(r) for r in backtest.return_histogram(periods([0.1] * 4), "excess_return").collect()] == [(1, 0.1, 0.1, 4)]
+    assert backtest.return_histogram(periods([]), "excess_return").count() == 0

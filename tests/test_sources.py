@@ -170,3 +170,45 @@ def test_inclusive_end(series):
     frame = series({"A": [1, 2, 3]})
     assert normalise.between_dates(frame, "2020-01-01", "2020-01-02", inclusive=True).count() == 2
     assert normalise.between_dates(frame, "2020-01-01", "2020-01-02").count() == 1
+
+
+def test_broken_off_refresh_leaves_the_run_before(spark, tmp_path, series, monthly, monkeypatch):
+    prices = series({"A": [100 + k % 7 for k in range(80)], "B": [50 + k % 5 for k in range(80)]}).withColumn("name", F.col("ticker"))
+    macro = monthly({"zar_usd": [15, 16, 17], "tbill_rate": [5, 6, 5], "cpi_all": [100, 101, 102]})
+    root = str(tmp_path)
+    refresh.refresh(spark, root, "2024-01-01", prices, macro)
+    with monkeypatch.context() as broken:
+        broken.setattr(refresh, "classify_regimes", lambda _: 1 / 0)  # after master and signals are written
+        for day in ("2024-01-01", "2024-01-02"):
+            with pytest.raises(ZeroDivisionError):
+                refresh.refresh(spark, root, day, prices.where("ticker = 'A'"), macro)
+    assert snapshots.list_runs(spark, root, "master") == ["2024-01-01"]
+    for table in ("prices_raw", "master", "panel_signals", "panel_regimes"):
+        assert snapshots.read_latest(spark, root, table).count() == 160
+    refresh.refresh(spark, root, "2024-01-01", prices.where("ticker = 'A'"), macro)
+    assert snapshots.read_latest(spark, root, "panel_regimes").count() == 80
+
+
+def test_commits_are_exclusive_and_unfinished_ones_do_not_count(spark, tmp_path, series):
+    root = str(tmp_path)
+    runs = [snapshots.Run(spark, root, "2024-01-01") for _ in range(3)]
+    for k, run in enumerate(runs):
+        assert run.write(series({"A": list(range(k + 1))}), "master").count() == k + 1
+    with pytest.raises(snapshots.SnapshotNotFound):
+        snapshots.read_latest(spark, root, "master")
+    for run in runs:
+        run.commit()
+    assert [r["number"] for r in snapshots.commits(spark, root).orderBy("number").collect()] == [1, 2, 3]
+    assert snapshots.read_latest(spark, root, "master").count() == 3
+    (tmp_path / "_commits" / "000000000004.json").write_text('{"run_date": "2024-01-09", "attempt": "x", "tab')
+    assert snapshots.list_runs(spark, root, "master") == ["2024-01-01"]
+    snapshots.write_snapshot(series({"A": [1]}), root, "master", "2024-01-03")
+    assert snapshots.list_runs(spark, root, "master") == ["2024-01-01", "2024-01-03"]
+    assert [tuple(r) for r in snapshots.row_counts(spark, root, "master").orderBy("run_date").collect()] == [("2024-01-01", 3), ("2024-01-03", 1)]
+
+
+def test_freshness_opens_no_table(spark, tmp_path, series):
+    root = str(tmp_path)
+    snapshots.write_snapshot(series({"A": [1, 2]}), root, "master", "2024-01-02")
+    plan = snapshots.freshness_report(spark, root, ["master", "other"])._jdf.queryExecution().toString()
+    assert "FileScan json" in plan and "FileScan parquet" not in plan
