@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,31 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     return left.withColumn("_key_hash", key).join(right.withColumn("_key_hash", key), [*on, "_key_hash"], how).drop("_key_hash")
 
 
+def byte_steps(texts: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """(start, rows) of steps through a column of texts, of about ``size`` bytes or one text each."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start, held = 0, 0
+    for k, n in enumerate(lengths):
+        if held and held + n > size:
+            yield start, k - start
+            start, held = k, 0
+        held += n + 64
+    if start < len(lengths):
+        yield start, len(lengths) - start
+
+
+def pieces(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """Parts of a text of ``size`` characters or a little more, each ending behind white space; twice as many where there is none."""
+    start = 0
+    while len(text) - start > 2 * size:
+        end = start + size
+        while end < start + 2 * size and not text[end - 1].isspace():
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that each id of ``edges`` (a, b: long) is linked to, by any path.
 
