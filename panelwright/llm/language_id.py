@@ -13,10 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwright.llm.shared import byte_steps, pieces, written
+
 UNDETERMINED = "und"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -81,6 +83,16 @@ class GramReader:
         return np.concatenate(found), np.concatenate(owners), has
 
 
+def cut_texts(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Texts, long ones in pieces between words, and the index of the text of each piece.
+
+    N-grams do not reach over white space, so pieces have those of their text; only a word of a hundred thousands of
+    letters is read as several words.
+    """
+    parts = [(k, piece) for k, t in enumerate(texts) for piece in pieces(t or "")]
+    return [p for _, p in parts], np.fromiter((k for k, _ in parts), np.int64, len(parts))
+
+
 def slot_numbers(h: np.ndarray, hashes: int, slots: int) -> list[np.ndarray]:
     step = (h >> np.uint64(32)) | np.uint64(1)
     return [((h + np.uint64(k) * step) % np.uint64(slots)).astype(np.int64) for k in range(hashes)]
@@ -101,29 +113,30 @@ def _gram_counts(labelled: DataFrame, letters: Broadcast, flush: int) -> DataFra
         def emit() -> Iterator[pa.RecordBatch]:
             for lang in list(held):
                 grams, n = combined(lang)
-                columns = [pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)]
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(grams)), pa.array(grams.view(np.int64)), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
-            held.clear()
+                del held[lang], grams, n, columns
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                langs = np.array(part.column("lang").to_pylist(), object)
-                h, owner, _ = reader.read(part.column("text").to_pylist())
+            for start, size in byte_steps(batch.column("text")):
+                part = batch.slice(start, size)
+                texts, of = cut_texts(part.column("text").to_pylist())
+                langs = np.array(part.column("lang").to_pylist(), object)[of]
+                h, owner, _ = reader.read(texts)
                 for lang in sorted(set(langs)):
                     grams, n = np.unique(h[(langs == lang)[owner]], return_counts=True)
                     a, b = held.setdefault(lang, ([], []))
                     a.append(grams)
                     b.append(n)
                     rows += len(grams)
-            if rows > flush:
-                for lang in held:
-                    grams, n = combined(lang)
-                    held[lang] = [grams], [n]
-                rows = sum(len(a[0]) for a, _ in held.values())
-                if rows > flush // 2:
-                    yield from emit()
-                    rows = 0
+                if rows > flush:
+                    for lang in held:
+                        grams, n = combined(lang)
+                        held[lang] = [grams], [n]
+                    rows = sum(len(a[0]) for a, _ in held.values())
+                    if rows > flush // 2:
+                        yield from emit()
+                        rows = 0
         yield from emit()
 
     counts = labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
@@ -156,10 +169,8 @@ def learn(
     chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < limits[F.col("lang")]) if share else usable
     letters = labelled.sparkSession.sparkContext.broadcast(letter_table())
     languages = [r["lang"] for r in sorted(counted, key=lambda r: (-r["docs"], r["lang"]))]
-    counts = _gram_counts(chosen, letters, flush=4_000_000)
+    counts = _gram_counts(chosen, letters, flush=500_000)
     # Only n-grams of a fair share matter; totals need the small ones too, so both come from one pass.
-    from panelwright.llm.shared import written
-
     counts = written(counts, "gram-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").selectExpr("lang", "gram", "n / total AS share")  # a row a language
@@ -192,41 +203,61 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     Existing columns lang_pred and score are replaced, others stay. No shuffle.
     """
     kept = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.hashes, model.false_rate, letter_table()))
+    shared = _shared(docs.sparkSession, model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, reader = LanguageModel(*shared.value[:4]), GramReader(shared.value[4])
-        for batch in batches:
-            names: list[str] = []
-            scores: list[float] = []
-            for start in range(0, batch.num_rows, 200):
-                texts = batch.column(text).slice(start, 200).to_pylist()
-                h, owner, has = reader.read(texts)
-                total = np.bincount(owner, minlength=len(texts))
+        for batch, names, scores in _predicted(batches, text, shared):
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+
+
+def _shared(spark: SparkSession, model: LanguageModel) -> Broadcast:
+    return spark.sparkContext.broadcast((model.languages, model.slots, model.hashes, model.false_rate, letter_table()))
+
+
+def _predicted(batches: Iterator[pa.RecordBatch], text: str, shared: Broadcast) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+    """Each batch with the language and the score of its rows."""
+    m, reader = LanguageModel(*shared.value[:4]), GramReader(shared.value[4])
+    for batch in batches:
+        names: list[str] = []
+        scores: list[float] = []
+        for start, size in byte_steps(batch.column(text)):
+            texts, of = cut_texts(batch.column(text).slice(start, size).to_pylist())
+            total, hits, has = np.zeros(size), np.zeros((max(1, len(m.languages)), size)), np.zeros(size, bool)
+            # A long text is read piece by piece; short ones are read together.
+            for some in np.array_split(np.arange(len(texts)), max(1, sum(map(len, texts)) >> 19)):
+                h, owner, letters = reader.read([texts[k] for k in some])
+                owner = of[some][owner]
+                has[of[some][letters]] = True
+                total += np.bincount(owner, minlength=size)
                 slots = slot_numbers(h, m.hashes, m.slots.shape[1])
-                part = np.zeros((max(1, len(m.languages)), len(texts)))
                 for word in range(m.slots.shape[0]):
                     mask = m.slots[word][slots[0]]
                     for s in slots[1:]:
                         mask &= m.slots[word][s]
                     for k in range(word * 64, min(len(m.languages), word * 64 + 64)):
-                        hit = owner[(mask >> np.uint64(k % 64)) & np.uint64(1) > 0]
-                        hits = np.bincount(hit, minlength=len(texts))
-                        rate = m.false_rate[k]
-                        part[k] = np.clip((hits - total * rate) / np.maximum(total * (1 - rate), 1e-9), 0, 1)
-                best = part.argmax(0)
-                found = has & bool(m.languages)
-                names += [m.languages[b] if f else UNDETERMINED for b, f in zip(best, found)]
-                scores += [float(s) if f else 0.0 for s, f in zip(part.max(0), found)]
-            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+                        hits[k] += np.bincount(owner[(mask >> np.uint64(k % 64)) & np.uint64(1) > 0], minlength=size)
+            rate = m.false_rate[:, None] if len(m.languages) else np.zeros((1, 1))
+            part = np.clip((hits - total * rate) / np.maximum(total * (1 - rate), 1e-9), 0, 1)
+            best = part.argmax(0)
+            found = has & bool(m.languages)
+            names += [m.languages[b] if f else UNDETERMINED for b, f in zip(best, found)]
+            scores += [float(s) if f else 0.0 for s, f in zip(part.max(0), found)]
+        yield batch, names, scores
 
 
 def reject_unknown(docs: DataFrame, model: LanguageModel, min_score: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language; ``und`` and scores below ``min_score`` go."""
-    found = identify(docs.withColumns({"lang_pred": F.lit(None), "score": F.lit(None)}), model)
-    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    return kept.select(docs.columns)
+    """The rows of ``docs`` (text, any others) whose text is in a learned language; ``und`` and scores below ``min_score`` go.
+
+    No column is added, replaced or lost, whatever its name; repeated rows go or stay together.
+    """
+    shared = _shared(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, names, scores in _predicted(batches, "text", shared):
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -179,7 +179,7 @@ class MergeEncoder:
         return b"".join([self.marks[0], *map(self.chunks.__getitem__, chunks), self.marks[1]])
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", cache_size: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", cache_size: int = 250_000) -> DataFrame:
     """``docs`` with ``out``: the ids of the whole text as little-endian unsigned 32-bit integers, begin and end included.
 
     Null and empty texts give just the two marks. Other columns stay as they are; a column named ``out`` is replaced.
