@@ -16,24 +16,41 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that recur across documents (n_chars follows); a document that loses all of them goes."""
-    cut = line_dedup.drop_recurring(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    changed = F.col("n_dropped") > 0
+    """Documents without lines that recur across documents (n_chars follows); a document that loses all of them goes.
+
+    Null texts have no lines and stay. Rows repeated with equal doc_id and text lose the same lines.
+    """
+    return from_packed(docs, line_dedup.drop_recurring(packed(docs, "doc_id", "text")).where((F.col("n_dropped") == 0) | (F.trim("text") != "")))
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` columns, and all others out of reach in one, so that columns a stage adds cannot clash with them."""
+    others = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*others).alias("_others")) if others else docs.select(*needed)
+
+
+def from_packed(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from a changed ``packed`` one; n_chars is counted again where lines were dropped."""
+    columns = {c: F.col(c) if c in ("doc_id", "text") else F.col("_others")[c] for c in docs.columns}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_dropped") > 0, counted).otherwise(columns["n_chars"])
+    return cut.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class of near copies, once."""
-    classes = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    kept = classes.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    """One document of each class of near copies: that of the smallest doc_id.
+
+    Different texts of one doc_id are different documents; repeated rows are one. Documents without doc_id, text or words are
+    nobody's copy and stay.
+    """
+    return minhash_dedup.one_of_each(docs)
 
 
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix."""
-    return mixing.mix(docs).repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
+    """All documents, repeated rows too, written in the order of the mix."""
+    mixed = mixing.mix(docs.select("doc_id", "source", F.struct(*docs.columns).alias("_packed")))
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("_packed.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +72,7 @@ STAGES = [
     ("mixing", interleave_sources),
     ("sentencepiece", tokenize),
 ]
-#: Null: model fits, components and encodings have no SQL; tests compare each stage with a brute-force version.
+#: Null: model fits, components and encodings have no SQL.
 ORACLE_SQL = None
 
 
