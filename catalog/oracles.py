@@ -568,7 +568,9 @@ ORACLES: dict[str, str] = {
         f"""SELECT "from", "to", n, CAST(occurrences AS BIGINT) AS occurrences, {r('probability')} FROM matrix""", "matrix"
     ),
     "transition_matrix_wide": with_ctes(
-        'PIVOT (SELECT "from", "to", probability FROM matrix) ON "to" USING round(max(probability), 6) GROUP BY "from"', "matrix"
+        f"""SELECT "from", {", ".join(f"round(max(probability) FILTER (\"to\" = '{a}_{b}'), 6) AS \"{a}_{b}\"" for a in STANCES for b in LEVELS)}
+            FROM matrix GROUP BY 1""",
+        "matrix",
     ),
     "next_regime": with_ctes(
         f"""SELECT "to", {r('probability')} FROM matrix WHERE "from" =

@@ -443,8 +443,9 @@ def transition_matrix(s, d):
 
 @query
 def transition_matrix_wide(s, d):
+    """All labels as columns, also those that do not occur."""
     matrix = markov.fit_transitions(regime_table(s, d))
-    states = names(matrix, "to")
+    states = [f"{a}_{b}" for a in ("HIKING", "CUTTING", "NEUTRAL") for b in ("LOW_INFLATION", "TARGET_INFLATION", "HIGH_INFLATION", "nan")]
     return rounded(markov.wide_matrix(matrix, states), *states)
 
 

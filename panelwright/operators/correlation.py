@@ -6,16 +6,50 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions import fixed_values as fixed
 from panelwright.functions.guarded import ratio
-from panelwright.operators.rolling import pair_aggregates, window_pearson, with_window_parts
 
 Keys = Sequence[str]
 SERIES_PER_BLOCK = 256
+#: Windows that are worked out at once.
+STEP_ROWS = 2048
+
+
+def _window_correlations(value: np.ndarray, variable: np.ndarray, rows: int, min_pairs: int) -> np.ndarray:
+    """Correlation of the last ``rows`` rows up to each, over those with both; NaN where undefined.
+
+    Every window has its own means, so nothing is subtracted that was added before. A window is constant if its least and
+    greatest value are equal, not if its spread comes out as rounding noise.
+    """
+    both = ~(np.isnan(value) | np.isnan(variable))
+    out = np.full(len(value), np.nan)
+    padded = [np.concatenate([np.zeros(rows - 1, a.dtype), a]) for a in (both, np.where(both, value, 0.0), np.where(both, variable, 0.0))]
+    for start in range(0, len(value), STEP_ROWS):
+        part = [sliding_window_view(a[start : start + STEP_ROWS + rows - 1], rows) for a in padded]
+        met = part[0]
+        n = met.sum(axis=1)
+        enough = np.flatnonzero(n >= min_pairs)
+        if not len(enough):
+            continue
+        met, x, y = (a[enough] for a in part)
+        moving = np.ones(len(enough), bool)
+        centred = []
+        for a in (x, y):
+            moving &= np.where(met, a, np.inf).min(axis=1) < np.where(met, a, -np.inf).max(axis=1)
+            centred.append(np.where(met, a - (a.sum(axis=1) / n[enough])[:, None], 0.0))
+        x, y = centred
+        spread = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+        moving &= spread > 0
+        joint = np.einsum("ij,ij->i", x, y)
+        out[start + enough[moving]] = np.clip(joint[moving] / spread[moving], -1.0, 1.0)
+    return out
 
 
 def rolling_correlations(
@@ -28,20 +62,29 @@ def rolling_correlations(
 ) -> DataFrame:
     """Long table of the trailing correlation of ``value`` with each variable that exists; undefined rows are left out.
 
-    All variables are computed in one pass over the panel and turned into rows afterwards, so each panel row is
-    shuffled once and not once per variable. The cost per row does not depend on the window length.
+    One shuffle by series. A series of the panel has a row per calendar day at most, so a group is small whatever the size
+    of the table; its windows of all variables are worked out as matrices, a step of rows at a time.
     """
     present = [v for v in variables if v in panel.columns]
     named = panel if "name" in panel.columns else panel.withColumn("name", F.col(keys[0]))
-    narrow = named.select("date", *keys, "name", value, *present)
-    aggregates = {}
-    for v in present:
-        aggregates.update(pair_aggregates(v, value, v))
-    measured = with_window_parts(narrow, aggregates, rows, keys).select(
-        "date", *keys, "name", *[F.expr(window_pearson(v, min_pairs)).alias(v) for v in present]
-    )
-    long = measured.unpivot(["date", *keys, "name"], present, "macro_var", "rolling_corr")
-    return long.where(F.col("rolling_corr").isNotNull())
+    numbers = [F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate((value, *present))]
+    narrow = named.select(F.col("date").alias("_date"), F.struct("date", *keys, "name").alias("_row"), *keys, *numbers)
+    kind = narrow.select("_row").schema.fields[0].dataType
+    if not present:
+        return panel.sparkSession.createDataFrame([], T.StructType([*kind.fields, T.StructField("macro_var", T.StringType()), T.StructField("rolling_corr", T.DoubleType())]))
+
+    def correlate(series: pa.Table) -> pa.Table:
+        series = series.sort_by("_date")
+        columns = [series.column(f"_{k}").to_numpy().astype(float) for k in range(len(present) + 1)]
+        parts = []
+        for name, column in zip(present, columns[1:], strict=True):
+            found = _window_correlations(columns[0], column, rows, min_pairs)
+            kept = np.flatnonzero(~np.isnan(found))
+            parts.append(pa.table([series.column("_row").take(kept), pa.repeat(name, len(kept)), pa.array(found[kept])], ["_row", "macro_var", "rolling_corr"]))
+        return pa.concat_tables(parts)
+
+    schema = T.StructType([T.StructField("_row", kind), T.StructField("macro_var", T.StringType()), T.StructField("rolling_corr", T.DoubleType())])
+    return narrow.groupBy(*keys).applyInArrow(correlate, schema).select("_row.*", "macro_var", "rolling_corr")
 
 
 def rolling_correlation_summary(correlations: DataFrame, keys: Keys = ("ticker",)) -> DataFrame:

@@ -54,50 +54,3 @@ def window_max(name: str) -> str:
 
 def window_min(name: str) -> str:
     return f"least(_head.{name}, _tail.{name})"
-
-
-def pair_aggregates(name: str, x: str, y: str) -> dict[str, str]:
-    """Aggregates from which ``window_pearson`` gives the correlation of x and y over the rows that have both."""
-    px = f"CASE WHEN `{y}` IS NOT NULL THEN `{x}` END"
-    py = f"CASE WHEN `{x}` IS NOT NULL THEN `{y}` END"
-    return {
-        f"{name}_n": f"count({px})",
-        f"{name}_x": f"avg({px})",
-        f"{name}_y": f"avg({py})",
-        f"{name}_vx": f"var_pop({px})",
-        f"{name}_vy": f"var_pop({py})",
-        f"{name}_c": f"covar_pop({px}, {py})",
-        f"{name}_lx": f"min({px})",
-        f"{name}_hx": f"max({px})",
-        f"{name}_ly": f"min({py})",
-        f"{name}_hy": f"max({py})",
-    }
-
-
-def window_pearson(name: str, min_pairs: int) -> str:
-    """Correlation over the window, merging the centred moments of its two parts; NULL when a side is constant.
-
-    Constancy is read off minima and maxima: the merged spread of equal values may come out as rounding noise.
-    """
-
-    def part(side: str, field: str) -> str:
-        return f"coalesce({side}.{name}_{field}, 0D)"
-
-    n = window_total(f"{name}_n")
-    between = f"try_divide({part('_head', 'n')} * {part('_tail', 'n')}, {n})"
-    dx = f"({part('_tail', 'x')} - {part('_head', 'x')})"
-    dy = f"({part('_tail', 'y')} - {part('_head', 'y')})"
-
-    def merged(field: str, shift: str) -> str:
-        inside = " + ".join(f"{part(s, field)} * {part(s, 'n')}" for s in ("_head", "_tail"))
-        return f"({inside} + {shift} * {between})"
-
-    spread = f"sqrt({merged('vx', f'{dx} * {dx}')}) * sqrt({merged('vy', f'{dy} * {dy}')})"
-    value = f"try_divide({merged('c', f'{dx} * {dy}')}, {spread})"
-    # greatest and least skip NULLs, so an undefined value must not reach them.
-    return (
-        f"CASE WHEN {n} >= {min_pairs}"
-        f" AND {window_min(f'{name}_lx')} < {window_max(f'{name}_hx')}"
-        f" AND {window_min(f'{name}_ly')} < {window_max(f'{name}_hy')}"
-        f" AND {spread} > 0 THEN greatest(-1D, least(1D, {value})) END"
-    )
