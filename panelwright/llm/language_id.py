@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.shared import byte_steps, pieces, written
+from panelwright.llm.shared import byte_steps, pieces, return_memory, written
 
 UNDETERMINED = "und"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -138,6 +138,7 @@ def _gram_counts(labelled: DataFrame, letters: Broadcast, flush: int) -> DataFra
                         yield from emit()
                         rows = 0
         yield from emit()
+        return_memory()
 
     counts = labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -210,6 +211,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch, names, scores in _predicted(batches, text, shared):
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
+        return_memory()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 

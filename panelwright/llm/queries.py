@@ -105,9 +105,7 @@ def op8_mixing(s, d):
 
 @query
 def op9_sentencepiece(s, d):
-    model = tokenizer_model()
-    coded = sentencepiece_codec.encode(table(s, d, "documents").select("doc_id", "text"), model).drop("text")
-    return sentencepiece_codec.decode(coded, model).select(
+    return sentencepiece_codec.round_trip(table(s, d, "documents").select("doc_id", "text"), tokenizer_model()).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -9,12 +9,14 @@ fails twice. Pieces that never come out of merging their own text are left out b
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from panelwright.llm.shared import return_memory
+
 SPACE = "▁"
 
 
@@ -100,6 +102,7 @@ class MergeEncoder:
         for piece in self.whole:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
+        self.reach = max(map(len, self.whole))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.good: set[tuple[str, str]] = set()
         self.codes = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
@@ -126,9 +129,13 @@ class MergeEncoder:
         return piece[0] if len(piece) > 1 else None
 
     def _longest(self, text: str, at: int, known: dict[int, str]) -> str:
-        """The longest piece at ``at``; the longest ones that follow it are noted in ``known`` on the way."""
-        for last, piece in self.automaton.iter_long(text, at):
-            known[last - len(piece) + 1] = piece
+        """The longest piece at ``at``; the longest ones that follow it closely are noted in ``known`` on the way."""
+        end = min(len(text), at + 4 * self.reach)
+        for last, piece in self.automaton.iter_long(text, at, end):
+            start = last - len(piece) + 1
+            if start + self.reach > end < len(text):  # a longer piece may lie beyond what was looked at
+                break
+            known[start] = piece
         return known.setdefault(at, text[at])
 
     def pieces(self, text: str) -> list[str]:
@@ -186,30 +193,64 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids",
     Equal rows give equal results; an empty table gives an empty one. No shuffle: each task works on its own rows and
     holds the vocabulary and two caches of at most ``cache_size`` entries.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(MergeEncoder(model)))
-    kept = docs.drop(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MergeEncoder.started(shared.value, cache_size)
-        for batch in batches:
-            ids = pa.array([encoder.encode(t) for t in batch.column(text).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType())]))
+    return _mapped(docs, text, {out: T.BinaryType()}, _encoder(docs.sparkSession, model, cache_size))
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with ``out``: the text that the ids stand for; null ids give null. Other columns stay."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
-    kept = encoded.drop(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import sentencepiece
+    def started() -> Callable[[pa.Array], list[pa.Array]]:
+        decoded = _decoder(shared.value)
+        return lambda column: [pa.array([None if b.as_py() is None else decoded(b.as_py()) for b in column], pa.string())]
+
+    return _mapped(encoded, ids, {out: T.StringType()}, started)
+
+
+def round_trip(docs: DataFrame, model: bytes, text: str = "text", cache_size: int = 250_000) -> DataFrame:
+    """``docs`` with ids and decoded, as ``decode`` of ``encode`` gives them, in one pass over the rows."""
+    encoder = _encoder(docs.sparkSession, model, cache_size)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def started() -> Callable[[pa.Array], list[pa.Array]]:
+        encoded, decoded = encoder(), _decoder(shared.value)
+
+        def both(column: pa.Array) -> list[pa.Array]:
+            ids = encoded(column)[0]
+            return [ids, pa.array([decoded(b.as_py()) for b in ids], pa.string())]
 
-        sp = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        return both
+
+    return _mapped(docs, text, {"ids": T.BinaryType(), "decoded": T.StringType()}, started)
+
+
+def _encoder(spark: SparkSession, model: bytes, cache_size: int) -> Callable[[], Callable[[pa.Array], list[pa.Array]]]:
+    shared = spark.sparkContext.broadcast(vars(MergeEncoder(model)))
+
+    def started() -> Callable[[pa.Array], list[pa.Array]]:
+        encoder = MergeEncoder.started(shared.value, cache_size)
+        return lambda column: [pa.array([encoder.encode(t.as_py()) for t in column], pa.binary())]
+
+    return started
+
+
+def _decoder(model: bytes) -> Callable[[bytes], str]:
+    import numpy as np
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return lambda ids: sp.decode(np.frombuffer(ids, "<u4").tolist())
+
+
+def _mapped(docs: DataFrame, column: str, made: dict[str, T.DataType], started: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """``docs`` with the columns that the started function makes of one column; existing ones of these names go."""
+    kept = docs.drop(*[c for c in made if c != column])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = started()
         for batch in batches:
-            texts = [None if b is None else sp.decode(np.frombuffer(b, "<u4").tolist()) for b in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *apply(batch.column(column))], [*batch.schema.names, *made])
+        del apply
+        return_memory()
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *[T.StructField(c, t) for c, t in made.items()]]))
