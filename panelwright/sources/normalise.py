@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from panelwright.functions import fixed_values as fixed
 from panelwright.functions.guarded import number_or_null
 
+QUOTE_SCHEMA = "date date, ticker string, open double, high double, low double, close double, volume double, name string"
 OBSERVATIONS = "struct<observations: array<struct<date: string, value: string>>>"
 
 
 def normalise_prices(wide: DataFrame, names: Mapping[str, str], date_column: str = "Date", separator: str = "|") -> DataFrame:
     """Wide quotes, one column per ``<Field>|<ticker>``, to one row per (date, ticker) with a name.
 
-    Each wide row already holds all its quotes, so it is turned into rows in place: no shuffle, no pivot, no join.
+    Each wide row already holds all its quotes, so it is turned into rows in place: no shuffle, no pivot, no join. The
+    columns of a field become one array, and the arrays are exploded side by side; the plan is a line of SQL text that
+    grows with the columns and no tree of them, so thousands of series plan within seconds.
     Rows without a close are dropped. Timestamps are cut to their date.
     """
     quoted: dict[str, dict[str, str]] = {}
@@ -25,22 +28,31 @@ def normalise_prices(wide: DataFrame, names: Mapping[str, str], date_column: str
         field, found, ticker = column.partition(separator)
         if found and field in fixed.QUOTE_FIELDS:
             quoted.setdefault(ticker, {})[field] = column
-
-    def quote(fields: Mapping[str, str], field: str) -> Column:
-        return number_or_null(F.col(f"`{fields[field]}`")) if field in fields else F.lit(None).cast("double")
-
-    quotes = F.array(
-        *[
-            F.struct(
-                F.lit(ticker).alias("ticker"),
-                *[quote(fields, raw).alias(standard) for raw, standard in fixed.QUOTE_FIELDS.items()],
-                F.lit(names.get(ticker)).cast("string").alias("name"),
-            )
-            for ticker, fields in sorted(quoted.items())
-        ]
+    tickers = sorted(quoted)
+    if not tickers:
+        return wide.sparkSession.createDataFrame([], QUOTE_SCHEMA)
+    types = {f.name: f.dataType for f in wide.schema.fields}
+
+    def listed(raw: str) -> str:
+        columns = [quoted[t].get(raw) for t in tickers]
+        # Columns of one type share an array as they are; of several, they meet as text.
+        kind = "{}" if len({types[c] for c in columns if c}) == 1 else "CAST({} AS string)"
+        cells = [kind.format("`" + c.replace("`", "``") + "`") if c else "NULL" for c in columns]
+        return f"array({', '.join(cells)})"
+
+    labels = [names.get(t) for t in tickers]
+    arrays = [_text_array(tickers), _text_array(labels), *map(listed, fixed.QUOTE_FIELDS)]
+    rows = wide.select(
+        F.to_date(date_column).alias("date"), F.expr(f"inline(arrays_zip({', '.join(arrays)}))").alias("ticker", "name", *fixed.QUOTE_FIELDS.values())
     )
-    long = wide.select(F.to_date(date_column).alias("date"), F.explode(quotes).alias("q")).select("date", "q.*")
-    return long.where(F.col("close").isNotNull())
+    numbers = [number_or_null(F.col(c)).alias(c) for c in fixed.QUOTE_FIELDS.values()]
+    return rows.select("date", "ticker", *numbers, F.col("name").cast("string").alias("name")).where(F.col("close").isNotNull())
+
+
+def _text_array(values: Sequence[str | None]) -> str:
+    """SQL text of an array of texts, quoted raw; a quotation mark inside becomes a character code."""
+    cells = ["NULL" if v is None else "concat(" + ", chr(39), ".join(f"r'{part}'" for part in v.split("'")) + ")" if "'" in v else f"r'{v}'" for v in values]
+    return f"array({', '.join(cells)})"
 
 
 def parse_observations(raw: DataFrame, payload: str = "payload", series: str = "series") -> DataFrame:

@@ -212,3 +212,25 @@ def test_freshness_opens_no_table(spark, tmp_path, series):
     snapshots.write_snapshot(series({"A": [1, 2]}), root, "master", "2024-01-02")
     plan = snapshots.freshness_report(spark, root, ["master", "other"])._jdf.queryExecution().toString()
     assert "FileScan json" in plan and "FileScan parquet" not in plan
+
+
+def test_many_series_plan_at_once(spark):
+    """10,000 quote columns, a tick in a name, and a column of texts among numbers."""
+    import time
+
+    tickers = [f"T{k}" for k in range(1998)] + ["O'Neil", "text"]
+    fields = ("Open", "High", "Low", "Close", "Volume")
+    cells = {f"{f}|{t}": ("string" if (f, t) == ("Close", "text") else "double") for t in tickers for f in fields}
+    schema = "Date date, " + ", ".join(f"`{c}` {kind}" for c, kind in cells.items())
+    row = (days(1)[0], *[("7.5" if kind == "string" else float(k)) for k, kind in enumerate(cells.values())])
+    wide = spark.createDataFrame([row], schema)
+    started = time.time()
+    out = normalise.normalise_prices(wide, {"O'Neil": "it's O'Neil", "T0": None})
+    assert time.time() - started < 30
+    rows = {r["ticker"]: r for r in out.collect()}
+    assert len(rows) == 2000 and rows["text"]["close"] == 7.5 and rows["T1"]["close"] == 8.0 and rows["T1"]["volume"] == 9.0
+    assert rows["O'Neil"]["name"] == "it's O'Neil" and rows["T0"]["name"] is None
+
+
+def test_no_quotes(spark):
+    assert normalise.normalise_prices(spark.createDataFrame([(days(1)[0], 1.0)], "Date date, other double"), {}).count() == 0
