@@ -244,7 +244,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], text: str, shared: Broadcast)
                         hits[k] += np.bincount(owner[(mask >> np.uint64(k % 64)) & np.uint64(1) > 0], minlength=size)
             rate = m.false_rate[:, None] if len(m.languages) else np.zeros((1, 1))
             part = np.clip((hits - total * rate) / np.maximum(total * (1 - rate), 1e-9), 0, 1)
-            best = part.argmax(0)
+            best = part.round(9).argmax(0)  # the correction must not split ties
             found = has & bool(m.languages)
             names += [m.languages[b] if f else UNDETERMINED for b, f in zip(best, found)]
             scores += [float(s) if f else 0.0 for s, f in zip(part.max(0), found)]
