@@ -34,16 +34,21 @@ SPELLINGS = {
     "whilst": "while",
     "wilful": "willful",
 }
-# Fixed value: a line that only says whose copyright it is.
-COPYRIGHT_LINE = r"^(copyright|portions copyright|c \p{N}{4})( |$)"
+# Fixed value: a line that only says whose copyright it is, since when. Sentences about copyright holders are none.
+COPYRIGHT_LINE = r"^(portions )?(copyright|copyright c|c)( by)? \p{N}{4}( |$)"
 
 
 def canonical_lines(text: Column) -> Column:
-    """Canonical lines of a text that have a word and are no copyright lines."""
+    """Canonical lines of a text that have a word and are no copyright lines.
+
+    Spellings are replaced as whole words: words stand between two spaces each meanwhile, so neighbours share none. Joined
+    by spaces, the lines are the same wherever the text was wrapped.
+    """
     words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    words = F.concat(F.lit(" "), F.replace(F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     for other, usual in SPELLINGS.items():
-        words = F.replace(words, F.lit(other), F.lit(usual))
-    lines = F.transform(F.split(words, "\n"), lambda x: F.trim(x))
+        words = F.replace(words, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {usual.replace(' ', '  ')} "))
+    lines = F.transform(F.split(words, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
 
 

@@ -152,11 +152,17 @@ def _known_values() -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    words = rf"regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
-    for other, usual in licence_scan.SPELLINGS.items():
-        words = f"replace({words}, '{other}', '{usual}')"
-    lines = f"[trim(x) for x in string_split({words}, chr(10))]"
-    return f"[y for y in {lines} if y <> '' and not regexp_matches(y, '{licence_scan.COPYRIGHT_LINE}')]"
+    """Lines as lists of words; each word, or pair of words, has one spelling."""
+    words = {k: v for k, v in licence_scan.SPELLINGS.items() if " " not in k}
+    usual = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in words.items()) + "}"
+    line = "[w for w in string_split(x, ' ') if w <> '']"
+    plain = f"[coalesce({usual}[w], w) for w in {line}]"
+    # The one spelling of two words: a single s behind "owner" goes.
+    apart = "[w[2] for w in list_zip(list_prepend('', l), l) if w[2] IS NOT NULL AND NOT (w[1] = 'owner' AND w[2] = 's')]"
+    lines = f"string_split(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10))"
+    joined = f"[array_to_string({apart}, ' ') for l in [{plain} for x in {lines}]]"
+    year = r"^(portions )?(copyright|copyright c|c)( by)? \p{N}{4}( |$)"
+    return f"[y for y in {joined} if y <> '' and not regexp_matches(y, '{year}')]"
 
 
 def _secrets_sql() -> str:
