@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelwright.llm import language_id, licence_scan, line_dedup, lm_scoring, minhash_dedup, mixing, sentencepiece_codec
@@ -201,3 +204,165 @@ def test_templates_generalise_differing_tokens():
     assert known.match([*line[:8], "x", "j"]) == 0
     assert known.all[0][8] == line_dedup.FIELD
     assert known.match("a b c k l m n o p q".split()) == 1
+
+
+def test_licence_texts_match_wherever_they_are_wrapped(spark):
+    import textwrap
+
+    from panelwright.llm.licence_texts import TEXTS, known_licences
+
+    docs, want = [], {}
+    for n, (name, text) in enumerate((k, v) for k, v in TEXTS.items() if len(v) > 500):
+        plain = " ".join(text.split())
+        for k, width in enumerate((60, 72, 78, 79, 80, 100, 120, 10_000)):
+            docs.append((n * 100 + k, "Copyright (c) 2024 Someone\n\n" + textwrap.fill(plain, width)))
+            want[n * 100 + k] = name
+    found = licence_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), known_licences(spark))
+    assert {r["doc_id"]: r["licence"] for r in found.collect()} == want
+
+
+def test_spellings_are_whole_words(spark):
+    known = spark.createDataFrame([("A", "the owner s right whilst whilst 5 percent"), ("B", "owner shall programmers percentages")], "licence string, text string")
+    docs = [(1, "The owner right, while while 5 per cent"), (2, "ownerhall programrs per centages"), (3, "owner shall programmers percentages")]
+    found = licence_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), known)
+    assert {r["doc_id"]: r["licence"] for r in found.collect()} == {1: "A", 2: None, 3: "B"}
+
+
+def test_language_equals_brute_force(spark):
+    """Sets of n-grams instead of filters, over whole texts; a long text in pieces among short ones."""
+    rng = random.Random(2)
+    words = {"en": "the quick brown fox over lazy dogs river bank stone".split(), "fr": "le vieux renard brun saute rivière chien été stone".split(), "xx": "zul qarn vex the".split()}
+    labelled = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(5, 40))), lang) for k, lang in enumerate(["en"] * 40 + ["fr"] * 30 + ["xx"] * 10)]
+
+    def grams(text):
+        out = []
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f" {word} "
+            out += [padded[i : i + n] for n in (3, 4) for i in range(len(padded) - n + 1)]
+        return out
+
+    counts = {lang: Counter(g for _, t, own in labelled if own == lang for g in grams(t)) for lang in words}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    known = {lang: {g for g, v in s.items() if v >= 1e-5 and v >= 0.1 * best[g]} for lang, s in share.items()}
+    model = language_id.learn(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    texts = [" ".join(rng.choice(sum(words.values(), [])) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    texts += ["le renard " * 80_000, "x" * 700_000, "", "12"]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    order = sorted(words, key=lambda lang: (-sum(own == lang for *_, own in labelled), lang))
+    for k, text in enumerate(texts):
+        own = grams(text)
+        rates = [sum(g in known[lang] for g in own) / len(own) if own else 0.0 for lang in order]
+        assert got[k]["lang_pred"] == (order[rates.index(max(rates))] if own else "und")
+        assert math.isclose(got[k]["score"], max(rates), abs_tol=1e-4)
+
+
+def test_recurring_lines_equal_brute_force(spark):
+    """Lines that differ in numbers only: documents per masked line, counted one by one."""
+    rng = random.Random(9)
+    kinds = [" ".join(rng.sample(WORDS, 6)) + " {} at {}" for _ in range(12)]
+    docs = [(k, "\n".join(rng.choice(kinds).format(rng.randint(1, 999), rng.randint(1, 99)) for _ in range(rng.randint(1, 3)))) for k in range(14)]
+
+    def mask(line):
+        return re.sub(r"\S*\d\S*", "#", line)
+
+    holders = {}
+    for k, text in docs:
+        for line in text.split("\n"):
+            holders.setdefault(mask(line), set()).add(k)
+    want = {}
+    for k, text in docs:
+        lost = [len(holders[mask(x)]) >= 3 and min(holders[mask(x)]) != k for x in text.split("\n")]
+        want[k] = "\n".join(x for x, gone in zip(text.split("\n"), lost) if not gone)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_score_depends_on_the_text_alone():
+    rng = np.random.default_rng(0)
+    tree = lm_scoring.huffman(rng.integers(1, 1000, 256))
+    logits, first = rng.normal(size=lm_scoring._OFFSETS[-1]).astype(np.float32), np.full((lm_scoring._GATES, lm_scoring.CONTEXTS), 0.4)
+    texts = ["the old river " * k for k in (1, 20, 300, 3000)] + ["", None, "x" * 300_000, "word and " * 40_000]
+    alone = [lm_scoring.mix([t], tree, logits, first, 0.002)[0][0] for t in texts]
+    assert lm_scoring.mix(texts, tree, logits, first, 0.002)[0].tolist() == alone
+
+
+def test_pieces_of_long_texts_read_like_the_whole():
+    """Bytes and contexts of the pieces, one behind the other, are those of the text."""
+    text = ("some words of varying lengths, né " * 20_000).encode()
+    parts = list(lm_scoring._pieces(0, text))
+    assert len(parts) > 3 and b"".join(p.body for p in parts) == text + b"\0"
+    whole, _, contexts = lm_scoring._read([lm_scoring.Part(0, text + b"\0", b"", 0)])
+    read = [lm_scoring._read([p]) for p in parts]
+    assert (np.concatenate([r[0] for r in read]) == whole).all()
+    for k in range(lm_scoring.CONTEXTS):
+        assert (np.concatenate([r[2][k] for r in read]) == contexts[k]).all()
+
+
+def test_links_of_a_group_equal_all_pairs(spark):
+    """Links between components, found by blocks, against similarities worked out one by one."""
+    rng = random.Random(3)
+    base = prose(4, 60)
+    texts = []
+    for _ in range(24):
+        text = list(base)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(60)] = f"edit{rng.random()}"
+        texts.append(" ".join(text + base[:9]))
+    reader, weights = minhash_dedup.ShingleReader(5), np.random.default_rng(1).uniform(0.2, 1, 1 << 20)
+    component = [k // 3 for k in range(24)]
+
+    def similarity(i, j):
+        a, b = ({h: n * weights[h % (1 << 20)] for h, n in zip(*(x.tolist() for x in reader.read([texts[k]])[:2]))} for k in (i, j))
+        shared = sum(min(a[h], b[h]) for h in a.keys() & b.keys())
+        return shared / (sum(a.values()) + sum(b.values()) - shared)
+
+    for lo, hi, own in ((0, 0, [0] * 24), (0, 1, [k % 2 for k in range(24)])):
+        group = pa.table({"bucket": [7] * 24, "lo": [lo] * 24, "hi": [hi] * 24, "node": list(range(24)), "component": component, "own": own, "text": texts, "buckets": [[k, 7] for k in range(24)]})
+        found = minhash_dedup._spanning_links(group.combine_chunks(), reader, weights, 0.8)
+        allowed = [(i, j) for i in range(24) for j in range(24) if component[i] != component[j] and (i < j if lo == hi else own[i] < own[j])]
+        want = {(i, j) for i, j in allowed if similarity(i, j) >= 0.8}
+        assert {(i, j) for i, j, _ in found} <= want and all(math.isclose(s, similarity(i, j), rel_tol=1e-6) for i, j, s in found)
+
+        def joined(links):
+            root = list(range(8))
+            for i, j in links:
+                a, b = root[component[i]], root[component[j]]
+                root = [a if r == b else r for r in root]
+            return [[r == q for q in root] for r in root]
+
+        assert joined([(i, j) for i, j, _ in found]) == joined(want) and len(found) < 8
+
+
+def test_near_duplicates_in_blocks_and_with_default_weights(spark):
+    """Copies edited at random, so that few resemble any one: small blocks and one block give the brute-force classes."""
+    rng = random.Random(11)
+    docs = {}
+    for family in range(3):
+        base = prose(family + 40, 80)
+        for k in range(30):
+            text = list(base)
+            for _ in range(rng.randint(1, 2)):
+                text[rng.randrange(80)] = f"w{rng.random()}"
+            docs[family * 100 + k] = " ".join(text)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    reader = minhash_dedup.ShingleReader(5)
+    table = minhash_dedup._idf(minhash_dedup.document_frequencies(frame, 5), len(docs), 0.1)
+    weighed = {k: {h: n * float(table[h % (1 << 20)]) for h, n in zip(*(x.tolist() for x in reader.read([t])[:2]))} for k, t in docs.items()}
+    assert min(w for d in weighed.values() for w in d.values()) < 0.9  # idf takes part
+    root = {k: k for k in docs}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in docs:
+        for b in docs:
+            if a < b:
+                shared = sum(min(w, weighed[b][h]) for h, w in weighed[a].items() if h in weighed[b])
+                if shared / (sum(weighed[a].values()) + sum(weighed[b].values()) - shared) >= 0.8:
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {k: find(k) for k in docs}
+    for block in (7, 256):
+        assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(frame, block=block).collect()} == want
