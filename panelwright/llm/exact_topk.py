@@ -22,12 +22,12 @@ from panelwright.llm.shared import skew_join, written
 def whole_vectors(vectors: DataFrame, scaled: Column) -> DataFrame:
     """(vec_id, v): vectors as doubles, without null vectors and those with null or non-finite components.
 
-    Of rows that repeat a vec_id the smallest vector stays. Rows without vec_id take no part.
+    Rows without vec_id take no part; rows that repeat one all do.
     """
     limit = F.lit(float("inf"))
     ok = F.forall("v", lambda x: F.coalesce((x < limit) & (x > -limit), F.lit(False)))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ok).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ok)
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -126,20 +126,27 @@ def _scored(visits: DataFrame, pivots: np.ndarray, top: float, width: int, k: in
 def top_k(
     vectors: DataFrame, queries: Column, k: int = 5, pivots: int = 64, rings: int = 64, cell_rows: int = 512, seed: int = 3
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query with all other vectors.
+    """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query with all other rows.
 
     ``vectors`` is (vec_id, v) of whole numbers as doubles, from ``whole_vectors``; ``queries`` says which rows are queries.
-    Ties go to the smaller vec_id; fewer than ``k`` others give fewer rows; an empty table gives none. Vectors shorter than the longest count
+    Rows that repeat a vec_id are rows of their own: each is a candidate of the others, and a query if its id is one. Ties go
+    to the smaller vec_id; fewer than ``k`` others give fewer rows; an empty table gives none. Vectors shorter than the longest count
     as filled with zeros. Scores are exact while they stay below 2^53.
 
     ``pivots`` vectors at most (fewer for small tables) are the bounded sample that the index is fitted to; every row is indexed. Cells hold about ``cell_rows`` rows: a
     crowded annulus, also one of equal vectors, is several cells. Queries are visited in blocks of one pivot and ring.
     """
-    data = written(vectors, "topk-vectors")
+    # Rows are told apart by a number that grows with vec_id, so that ties by number are ties by vec_id.
+    order = ["vec_id", F.xxhash64("v")]
+    numbered = vectors.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    numbered = written(numbered, "topk-vectors")
+    ids = numbered.select("row", "vec_id")
+    asking = numbered.where(queries).select(F.col("row").alias("vec_id"))
+    data = numbered.select(F.col("row").alias("vec_id"), "v")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     size = data.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(norm).alias("top")).first()
     if not size["n"]:
-        return data.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "vec_id AS score").limit(0)
+        return ids.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "vec_id AS score").limit(0)
     width, top = max(1, size["width"]), float(size["top"])
     pivots = int(np.clip(size["n"] // (4 * cell_rows), 4, pivots))
     chosen = data.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(pivots).select("v").collect()
@@ -151,7 +158,7 @@ def top_k(
     split = split.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     cells = written(_packed(split, ["pivot", "ring", "part"], width), "topk-cells")
 
-    asked = keyed.where(F.expr("vec_id IS NOT NULL") & queries)
+    asked = keyed.join(asking, "vec_id", "left_semi")
     asked = asked.join(F.broadcast(sizes), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("parts") / 8))).cast("int"))
     blocks = _packed(asked.drop("parts"), ["pivot", "ring", "part"], width)
     blocks = blocks.select(
@@ -169,7 +176,9 @@ def top_k(
         seen = seen.union(new)
         best = _best(_scored(_visits(bounded, new, cells), centres, top, width, k), best, k)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place).select("query_id", "rank", "vec_id", "score")
+    ranked = best.withColumn("rank", place).withColumnsRenamed({"query_id": "query_row", "vec_id": "row"})
+    named = ranked.join(ids, "row").select(F.col("query_row").alias("row"), "rank", F.col("vec_id").alias("found"), "score")
+    return named.join(ids, "row").select(F.col("vec_id").alias("query_id"), "rank", F.col("found").alias("vec_id"), "score")
 
 
 def _visits(blocks: DataFrame, wanted: DataFrame, cells: DataFrame) -> DataFrame:
