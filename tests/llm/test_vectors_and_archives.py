@@ -51,6 +51,20 @@ def test_top_k_equals_brute_force(spark, tables, vectors):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
 
 
+def test_rows_of_one_id_are_candidates_of_each_other(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k % 60, np.floor(rng.normal(size=6) * 8)) for k in range(150)]
+    rows += [(50, rows[50][1]), (None, rows[0][1])]
+    got = exact_topk.top_k(spark.createDataFrame([(k, v.tolist()) for k, v in rows if k is not None], "vec_id long, v array<double>"), F.col("vec_id") % 50 == 0, cell_rows=16)
+    want = []
+    known = [(n, k, v) for n, (k, v) in enumerate(rows) if k is not None]
+    for n, q, x in known:
+        if q % 50 == 0:
+            best = sorted((-int(x @ v), k) for m, k, v in known if m != n)[:5]
+            want += [(q, rank, k, -s) for rank, (s, k) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_top_k_over_many_cells_equals_brute_force(spark, vectors):
     """Small cells and many pivots, so that several annuli are visited."""
     whole = {k: np.floor(256 * np.array(v, np.float64)) for k, v, _ in vectors if finite(v)}
