@@ -864,4 +864,13 @@ ORACLES: dict[str, str] = {
            held AS (SELECT l_returnflag, list(v ORDER BY v) AS l FROM given GROUP BY 1)
            SELECT l_returnflag, share, round(l[1 + floor(r)::INT] + (r - floor(r)) * (l[1 + ceil(r)::INT] - l[1 + floor(r)::INT]), 6) AS value
            FROM (SELECT *, share * (len(l) - 1) AS r FROM held, share)""",
+    "snapshot_history": with_ctes(
+        """SELECT '2001-01-01' AS run_date, ticker, date, close FROM prices WHERE date < DATE '1999-07-01'
+           UNION ALL SELECT '2001-02-01', ticker, date, close FROM prices""",
+        "prices",
+    ),
+    "best_panel": with_ctes(f"SELECT ticker, date, {r('momentum_score')} FROM score", "score"),
+    "master_without_annual": with_ctes(
+        f"SELECT p.ticker, p.date, p.close, {r('tbill_rate', 'zar_usd')} FROM prices p ASOF LEFT JOIN macro m ON p.date >= m.date", "prices", "macro"
+    ),
 }

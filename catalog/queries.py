@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catalog import inputs
 from catalog.inputs import INDEX, MACRO_LABELS
 from panelwright.functions import fixed_values as fixed
+from panelwright.functions.lineage import keep_for_reuse
 from panelwright.operators import (
     asof,
     backtest,
@@ -63,7 +64,8 @@ def closes(s: SparkSession, d: str) -> DataFrame:
 
 
 def monthly(s: SparkSession, d: str) -> DataFrame:
-    return macro.process_macro(inputs.macro(s, d))
+    """A row per month: kept, as most queries read it several times."""
+    return keep_for_reuse(macro.process_macro(inputs.macro(s, d)))
 
 
 def regime_table(s: SparkSession, d: str) -> DataFrame:
@@ -199,6 +201,36 @@ def freshness_report(s, d):
     return snapshots.freshness_report(s, root, ["prices", "macro", "annual"], F.date_add(F.current_date(), 10))
 
 
+@query
+def snapshot_history(s, d):
+    """All runs of a table; the first one was written again, the last one never committed."""
+    root = inputs.scratch_folder(s, "history")
+    panel = closes(s, d).drop("name")
+    snapshots.write_snapshot(panel.limit(10), root, "prices", "2001-01-01")
+    snapshots.write_snapshot(panel.where(F.col("date") < CUT_DAY), root, "prices", "2001-01-01")
+    snapshots.write_snapshot(panel, root, "prices", "2001-02-01")
+    snapshots.Run(s, root, "2001-03-01").write(panel.limit(0), "prices")
+    return snapshots.read_all_runs(s, root, "prices").withColumn("run_date", F.col("run_date").cast("string"))
+
+
+@query
+def best_panel(s, d):
+    """The most enriched panel that has been committed, as it was in the run before the last."""
+    root = inputs.scratch_folder(s, "panels")
+    snapshots.write_snapshot(closes(s, d), root, "master", "2001-02-01")
+    snapshots.write_snapshot(scored(s, d).select("ticker", "date", "momentum_score"), root, "panel_signals", "2001-01-01")
+    snapshots.write_snapshot(scored(s, d).select("ticker", "date", "momentum_score").limit(5), root, "panel_signals", "2001-02-01")
+    columns = snapshots.read_best_panel(s, root).columns
+    return rounded(snapshots.read_previous(s, root, "panel_signals").select(*columns), "momentum_score")
+
+
+@query
+def master_without_annual(s, d):
+    prices = inputs.prices(s, d).select("ticker", "date", "close")
+    out = asof.build_master(prices, monthly(s, d).select("date", "tbill_rate", "zar_usd"))
+    return rounded(out, "tbill_rate", "zar_usd")
+
+
 # Prices ---------------------------------------------------------------------------------------------------------------
 
 
@@ -759,7 +791,7 @@ def walk_forward_coefficients(s, d):
 @query
 def enriched_panel(s, d):
     """The most enriched panel of a full refresh: processed prices, macro, annual, signals and regimes."""
-    tables = refresh.build_tables(inputs.prices(s, d), inputs.macro(s, d), inputs.annual(s, d))
+    tables = refresh.build_tables(inputs.prices(s, d), inputs.macro(s, d), inputs.annual(s, d), keep_for_reuse)
     panel = tables["panel_regimes"]
     exact = {*fixed.PRICE_COLUMNS, "high_52w", "low_52w", "ma_50", "ma_200"}
     loose = [f.name for f in panel.schema.fields if f.dataType.typeName() == "double" and f.name not in exact]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,18 @@ from panelwright.operators.signals import compute_signals
 from panelwright.sources.snapshots import Run, SnapshotNotFound, list_runs, read_previous
 
 
-def build_tables(prices: DataFrame, macro: DataFrame, annual: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All derived tables as lazy plans."""
-    processed_prices = process_prices(prices)
-    processed_macro = process_macro(macro)
+def build_tables(
+    prices: DataFrame, macro: DataFrame, annual: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> dict[str, DataFrame]:
+    """All derived tables as lazy plans.
+
+    ``keep`` is applied to the tables that several others are made from; ``keep_for_reuse`` has them computed once.
+    """
+    processed_prices = process_prices(keep(prices))
+    processed_macro = keep(process_macro(macro))
     master = build_master(processed_prices, processed_macro, annual)
     signals = compute_signals(master)
-    regimes = classify_regimes(processed_macro)
+    regimes = keep(classify_regimes(processed_macro))
     panel = attach_regimes(signals, regimes)
     return {
         "prices_processed": processed_prices,
