@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset (local tests)."""
+    """Folder that all executors see: ``spark.checkpoint.dir``. Where it is unset, one of our own in a local session; on a
+    cluster that is an error, as executors would write to their own disks."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        return spark.sparkContext.getCheckpointDir()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if context.getCheckpointDir() is None:
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return folder or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
