@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.shared import skew_join, written
+from panelwright.llm.shared import byte_steps, return_memory, skew_join, written
 
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -76,8 +76,8 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, hot: object | None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if hot is None else np.frombuffer(hot.value, np.uint8)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start, size in byte_steps(batch.column("text")):
+                part = batch.slice(start, size)
                 rows: list[tuple] = []
                 for doc, body, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "body", "text"))):
                     fields = _DIGIT.search(text) is not None
@@ -93,6 +93,7 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, hot: object | None) ->
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], ["doc_id", "body", "place", "leaf", "line"]
                 )
+        return_memory()
 
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
     return docs.mapInArrow(run, "doc_id long, body long, place int, leaf long, line string")

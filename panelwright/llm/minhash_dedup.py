@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.shared import byte_steps, components, skew_join, written
+from panelwright.llm.shared import byte_steps, components, return_memory, skew_join, written
 
 _TABLE = 1 << 20  # entries of the document-frequency table
 _BLOCK = 1 << 12
@@ -99,6 +99,8 @@ def document_frequencies(docs: DataFrame, words: int) -> np.ndarray:
         blocks = [k for k in range(_TABLE // _BLOCK) if total[k * _BLOCK : (k + 1) * _BLOCK].any()]
         counts = [total[k * _BLOCK : (k + 1) * _BLOCK].astype("<i8").tobytes() for k in blocks]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())], ["block", "counts"])
+        del total, reader, counts
+        return_memory()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -171,6 +173,8 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int, table: Broad
                     pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "buckets"])
+        del reader, sampler
+        return_memory()
 
     return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, buckets array<long>")
 
@@ -191,6 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, table: Broadcast,
                 similar.append(float(shared / (w.sum() - shared)))
             found = [*(batch.column(c) for c in ("a", "b")), pa.array(similar, pa.float64())]
             yield pa.RecordBatch.from_arrays(found, ["a", "b", "similarity"])
+        return_memory()
 
     right = texts.selectExpr("node AS b", "text AS right")
     left = texts.selectExpr("node AS a", "text AS left")
