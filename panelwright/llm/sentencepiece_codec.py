@@ -186,7 +186,7 @@ class MergeEncoder:
         return b"".join([self.marks[0], *map(self.chunks.__getitem__, chunks), self.marks[1]])
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", cache_size: int = 100_000) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", cache_size: int = 500_000) -> DataFrame:
     """``docs`` with ``out``: the ids of the whole text as little-endian unsigned 32-bit integers, begin and end included.
 
     Null and empty texts give just the two marks. Other columns stay as they are; a column named ``out`` is replaced.
@@ -207,7 +207,7 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", out: str = "decod
     return _mapped(encoded, ids, {out: T.StringType()}, started)
 
 
-def round_trip(docs: DataFrame, model: bytes, text: str = "text", cache_size: int = 100_000) -> DataFrame:
+def round_trip(docs: DataFrame, model: bytes, text: str = "text", cache_size: int = 500_000) -> DataFrame:
     """``docs`` with ids and decoded, as ``decode`` of ``encode`` gives them, in one pass over the rows."""
     encoder = _encoder(docs.sparkSession, model, cache_size)
     shared = docs.sparkSession.sparkContext.broadcast(model)
