@@ -55,7 +55,7 @@ def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text they decode to."""
-    return sentencepiece_codec.round_trip(docs.select("doc_id", "text"), tokenizer_model()).select(
+    return sentencepiece_codec.round_trip(docs.select("doc_id", "text"), tokenizer_model(), cache_size=100_000).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
