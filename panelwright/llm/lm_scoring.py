@@ -17,6 +17,7 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,9 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 END = 0
 #: Bytes that are worked on at once; a longer text is read in pieces of about as many.
 _STEP = 1 << 17
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Bytes of text whose tokens are told apart at once.
+_TOKEN_STEP = 1 << 22
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass
@@ -71,7 +73,7 @@ def huffman(counts: np.ndarray) -> Tree:
     size = np.array([len(p) for p in paths])
     flat = [x for p in paths for x in p]
     depth = np.concatenate([np.arange(n) for n in size])
-    return Tree(size, np.cumsum(size) - size, np.array([n * 0xD6E8FEB86659FD93 % (1 << 64) for n, _ in flat], np.uint64), np.array([b for _, b in flat], np.int8), depth)
+    return Tree(size, np.cumsum(size) - size, np.array([(n * 0xD6E8FEB86659FD93 % (1 << 64)) >> 32 for n, _ in flat], np.uint32), np.array([b for _, b in flat], np.int8), depth)
 
 
 @dataclass
@@ -121,48 +123,82 @@ def _read(parts: list[Part]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     lengths = np.array([len(p.before) + len(p.body) for p in parts], np.int64)
     data = np.frombuffer(b"".join(p.before + p.body for p in parts), np.uint8)
     owner = np.repeat(np.arange(len(parts)), lengths)
+    contexts = _contexts(data, lengths)
+    if not any(p.before for p in parts):
+        return data, owner, contexts
     inside = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= np.array([len(p.before) for p in parts])[owner]
-    return data[inside], owner[inside], [c[inside] for c in _contexts(data, lengths)]
+    return data[inside], owner[inside], [c[inside] for c in contexts]
 
 
 def _contexts(data: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """Hash of each predictor's context, by byte; contexts end at the text's start."""
     n = len(data)
-    at = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    back = [np.zeros(n, np.uint64) for _ in range(4)]
+    starts = np.cumsum(lengths) - lengths
+    wide = data.astype(np.uint32)
+    two, four = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     for k in range(4):
-        back[k][k + 1 :] = data[: n - k - 1]
-        back[k][at <= k] = 0
-    two = back[0] + (back[1] << np.uint64(8))
-    four = two + (back[2] << np.uint64(16)) + (back[3] << np.uint64(24)) + np.uint64(1 << 40)
+        back = np.zeros(n, np.uint32)
+        back[k + 1 :] = wide[: n - k - 1]
+        for j in range(k + 1):
+            back[starts[lengths > j] + j] = 0
+        back <<= np.uint32(8 * k)
+        four += back
+        if k < 2:
+            two += back
     # The word so far: a polynomial of its bytes, taken from running sums.
-    space = (data == 32) | ((data >= 9) & (data <= 13)) | (data == END)
-    power = np.cumprod(np.full(n, _PRIME))
-    inverse = np.cumprod(np.full(n, np.uint64(pow(int(_PRIME), -1, 1 << 64))))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)))
-    starts = np.maximum.accumulate(np.where(np.concatenate(([True], space[:-1])), np.arange(n), 0))
-    word = (total[:n] - total[starts]) * inverse[starts] + np.uint64(2 << 40)
-    return [_mixed(h) for h in (two, four, word)]
+    space = _SPACE[data]
+    power, inverse = _powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((wide + np.uint32(1)) * power, out=total[1:])
+    begin = np.concatenate(([0], np.flatnonzero(space[:-1]) + 1)) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begin, n))
+    word = (total[:n] - np.repeat(total[begin], sizes)) * np.repeat(inverse[begin], sizes) + np.uint64(2 << 40)
+    return [_mixed(two.astype(np.uint64)), _mixed(four + np.uint64(1 << 40)), _mixed(word)]
+
+
+_SPACE = np.isin(np.arange(256), [END, 9, 10, 11, 12, 13, 32])
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the prime and of its inverse, kept for the usual step."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 3 * _STEP)
+        _POWERS[:] = [np.cumprod(np.full(size, p, np.uint64)) for p in (_PRIME, np.uint64(pow(int(_PRIME), -1, 1 << 64)))]
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h * _PRIME
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(32)
+    return h.astype(np.uint32)
 
 
 def _decisions(tree: Tree, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the byte, index into the tree's lists) of every decision."""
+    """(number of decisions by byte, index into the tree's lists of every decision)."""
     size = tree.size[data]
-    owner = np.repeat(np.arange(len(data)), size)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    return owner, tree.start[data][owner] + step
+    spot = np.repeat((tree.start[data] - np.cumsum(size) + size).astype(np.int32), size)
+    spot += np.arange(len(spot), dtype=np.int32)
+    return size, spot
 
 
-def _slots(k: int, context: np.ndarray, owner: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    h = context[owner]
+def _slots(k: int, context: np.ndarray, size: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    h = np.repeat(context, size)
     h += spread
-    h >>= np.uint64(64 - _BITS[k])
-    return h.view(np.int64)
+    h >>= np.uint32(32 - _BITS[k])
+    return h.astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts compressed with their low bytes first, then the next ones: most counts are small."""
+    return pa.compress(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * _BLOCK, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
 
 
 def byte_counts(docs: DataFrame) -> np.ndarray:
@@ -185,25 +221,25 @@ def byte_counts(docs: DataFrame) -> np.ndarray:
 def context_logits(docs: DataFrame, tree: Tree) -> np.ndarray:
     """Logit of a set bit, by predictor and slot, from all decisions of all texts of ``docs``.
 
-    A task counts into a table of fixed size and sends its blocks; Spark adds them up by block. The whole table, 28 MB,
-    comes to the driver and goes out again.
+    A task counts into a table of fixed size and sends its blocks, packed; Spark adds them up by block. The whole table,
+    14 MB, comes to the driver and goes out again.
     """
     plain = astuple(tree)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = Tree(*plain), np.zeros(_OFFSETS[-1] * 2, np.int32)
         for batch in batches:
-            for start, size in byte_steps(batch.column("text"), _STEP):
-                for parts in _parts(batch.column("text").slice(start, size).to_pylist()):
+            for start, rows in byte_steps(batch.column("text"), _STEP):
+                for parts in _parts(batch.column("text").slice(start, rows).to_pylist()):
                     data, _, contexts = _read(parts)
-                    owner, at = _decisions(known, data)
+                    size, at = _decisions(known, data)
                     node, bit = known.node[at], known.bit[at]
                     for k, context in enumerate(contexts):
-                        slot = _slots(k, context, owner, node) * 2 + bit
+                        slot = _slots(k, context, size, node) * 2 + bit
                         np.add.at(total[2 * _OFFSETS[k] : 2 * _OFFSETS[k + 1]], slot, np.int32(1))
         blocks = total.reshape(-1, _BLOCK)
         for some in np.array_split(np.flatnonzero(blocks.any(1)), 32):  # a batch is a small part of the table
-            counts = pa.array([blocks[k].tobytes() for k in some], pa.binary())
+            counts = pa.array([_packed(blocks[k]) for k in some], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), counts], ["block", "counts"])
         del total, blocks
         return_memory()
@@ -212,16 +248,16 @@ def context_logits(docs: DataFrame, tree: Tree) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<i4").astype(np.int64)
+                sums[k] = sums.get(k, 0) + _unpacked(raw)
         for k, s in sums.items():
             pair = s.reshape(-1, 2)
-            logit = np.log((pair[:, 1] + 0.2) / (pair[:, 0] + 0.2)).astype("<f4")
+            logit = np.log((pair[:, 1] + 0.2) / (pair[:, 0] + 0.2)).astype("<f2")
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([logit.tobytes()], pa.binary())], ["block", "logits"])
 
     summed = docs.select("text").mapInArrow(count, "block long, counts binary").repartition("block").mapInArrow(add, "block long, logits binary")
-    out = np.zeros(_OFFSETS[-1], np.float32).reshape(-1, _BLOCK // 2)
+    out = np.zeros(_OFFSETS[-1], np.float16).reshape(-1, _BLOCK // 2)
     for r in summed.toLocalIterator():
-        out[r["block"]] = np.frombuffer(r["logits"], "<f4")
+        out[r["block"]] = np.frombuffer(r["logits"], "<f2")
     return out.ravel()
 
 
@@ -239,20 +275,21 @@ class State:
         return cls([np.tile(first[:, k], n) for k in range(CONTEXTS)], np.tile(centre * 8, n), np.full(n * _BINS, 8.0))
 
 
-def mix(texts: list[str | None], tree: Tree, logits: np.ndarray, first: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability by text, final weights by text, gate and predictor)."""
-    score, ends = np.zeros(len(texts)), np.zeros((len(texts), _GATES, CONTEXTS))
+def mix(texts: list[str | None], tree: Tree, logits: np.ndarray, first: np.ndarray, rate: float, score: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability by text, or zeros without ``score``; final weights by text, gate and predictor)."""
+    out, ends = np.zeros(len(texts)), np.zeros((len(texts), _GATES, CONTEXTS))
     state, rows = None, []
     for parts in _parts(texts):
         if [p.row for p in parts] != rows:  # else the next piece of the same long text
             state, rows = State.fresh(first, len(parts)), [p.row for p in parts]
-        np.add.at(score, rows, _mix(parts, tree, logits, state, rate))
+        np.add.at(out, rows, _mix(parts, tree, logits, state, rate, score))
         ends[rows] = np.stack(state.weights, 1).reshape(len(rows), _GATES, CONTEXTS)
-    return score, ends
+    return out, ends
 
 
-def _mix(parts: list[Part], tree: Tree, logits: np.ndarray, state: State, rate: float) -> np.ndarray:
-    """log10 probability of each part; ``state`` goes on. All parts are read side by side, chunk by chunk."""
+def _mix(parts: list[Part], tree: Tree, logits: np.ndarray, state: State, rate: float, score: bool = True) -> np.ndarray:
+    """log10 probability of each part; ``state`` goes on. All parts are read side by side, chunk by chunk. Without
+    ``score`` only the weights go on, which do not depend on the refinement, and zeros come back."""
     data, doc, contexts = _read(parts)
     n = len(parts)
     lengths = np.bincount(doc, minlength=n)
@@ -260,61 +297,92 @@ def _mix(parts: list[Part], tree: Tree, logits: np.ndarray, state: State, rate:
     turn = np.where(at < _BEGINNING, at // _CHUNK, _BEGINNING // _CHUNK + (at - _BEGINNING) // _LATER)
     turn -= turn.min()
     order = np.argsort(turn, kind="stable")
-    data, doc, turn = data[order], doc[order].astype(np.int32), turn[order]
-    owner, spot = _decisions(tree, data)
-    node, bit = tree.node[spot], tree.bit[spot].astype(np.float32)
-    signal = [logits[_OFFSETS[k] : _OFFSETS[k + 1]][_slots(k, context[order], owner, node)] for k, context in enumerate(contexts)]
-    who = doc[owner]
-    gate = who * _GATES + np.minimum(tree.depth[spot], _GATES - 1).astype(np.int32)
-    who *= _BINS
-    edges = np.searchsorted(owner, np.searchsorted(turn, np.arange(turn[-1] + 2)))
+    data, doc, turn = data[order], doc[order], turn[order]
+    size, spot = _decisions(tree, data)
+    node, bit = tree.node[spot], tree.bit[spot]
+    signal = [logits[_OFFSETS[k] : _OFFSETS[k + 1]][_slots(k, context[order], size, node)].astype(np.float32) for k, context in enumerate(contexts)]
+    gate = np.repeat((doc * _GATES).astype(np.int32), size)
+    gate += np.minimum(tree.depth, _GATES - 1).astype(np.int32)[spot]
+    after = np.concatenate(([0], np.cumsum(size)))
+    edges = after[np.searchsorted(turn, np.arange(turn[-1] + 2))]
     weights, ones, met = state.weights, state.ones, state.met
-    chance = np.empty(len(bit))
+    bits, half = bit.astype(np.float32), np.float32(_BINS / 2)
+    if score:
+        cells = np.repeat((doc * (2 * _BINS)).astype(np.int32), size)
+        cells += bit
+        refined = np.empty(len(bit), np.float32)
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        g, b, s = gate[low:high], bit[low:high], [x[low:high] for x in signal]
-        z = weights[0][g] * s[0]
+        g, s = gate[low:high].astype(np.int64), [x[low:high] for x in signal]
+        z = weights[0].astype(np.float32)[g]
+        z *= s[0]
         for k in range(1, CONTEXTS):
-            z += weights[k][g] * s[k]
-        np.clip(z, -_BINS / 2 + 0.01, _BINS / 2 - 0.01, out=z)
-        p = 1 / (1 + np.exp(-z))
-        cell = who[low:high] + (z + _BINS / 2).astype(np.int32)
-        refined = 0.7 * p + 0.3 * (ones[cell] / met[cell])
-        chance[low:high] = np.where(b > 0, refined, 1 - refined)
-        miss = (b - p) * rate
+            more = weights[k].astype(np.float32)[g]
+            more *= s[k]
+            z += more
+        np.maximum(z, np.float32(0.01) - half, out=z)
+        np.minimum(z, half - np.float32(0.01), out=z)
+        p = np.negative(z)
+        np.exp(p, out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        miss = bits[low:high] - p
+        miss *= np.float32(rate)
         for k in range(CONTEXTS):
             weights[k] += np.clip(np.bincount(g, miss * s[k], n * _GATES), -0.1, 0.1)
-        met += np.bincount(cell, minlength=n * _BINS)
-        ones += np.bincount(cell, b, n * _BINS)
-    return np.bincount(who // _BINS, np.log10(np.clip(chance, 1e-7, 1)), n)
-
-
-def first_weights(docs: DataFrame, model: Broadcast, rate: float, sample: int) -> np.ndarray:
-    """Weights to start from: the mean of where about ``sample`` training texts, a bounded sample chosen by hash, end up."""
+        if score:
+            z += half
+            cell = z.astype(np.int64)
+            cell *= 2
+            cell += cells[low:high]
+            p *= np.float32(0.7)
+            p += (0.3 * ones / met).astype(np.float32)[cell >> 1]
+            refined[low:high] = p
+            new = np.bincount(cell, minlength=2 * n * _BINS).reshape(-1, 2)
+            met += new.sum(1)
+            ones += new[:, 1]
+    if not score:
+        return np.zeros(n)
+    chance = refined.astype(np.float64)
+    chance -= 1 - bit  # of the bit that came, but for the sign
+    np.abs(chance, out=chance)
+    np.maximum(chance, 1e-7, out=chance)
+    np.log(chance, out=chance)
+    gate //= _GATES
+    return np.bincount(gate, chance, n) / np.log(10)
+
+
+def first_weights(docs: DataFrame, model: Broadcast, rate: float) -> np.ndarray:
+    """Weights to start from: the mean of those that all texts end with, by their bytes, when each starts from even ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, logits = Tree(*model.value[0]), model.value[1]
+        even = np.full((_GATES, CONTEXTS), 0.4)
         total, n = np.zeros((_GATES, CONTEXTS)), 0
         for batch in batches:
             for start, size in byte_steps(batch.column("text"), _STEP):
-                total += mix(batch.column("text").slice(start, size).to_pylist(), tree, logits, np.full((_GATES, CONTEXTS), 0.4), rate)[1].sum(0)
-                n += size
+                texts = batch.column("text").slice(start, size)
+                read = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 1
+                total += np.tensordot(read, mix(texts.to_pylist(), tree, logits, even, rate, score=False)[1], 1)
+                n += int(read.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.ravel().tolist()])], ["n", "weights"])
+        return_memory()
 
-    eligible = docs.where("length(text) > 200").select("text")
-    share = min(1.0, sample / max(1, eligible.count()))
-    chosen = eligible.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = chosen.mapInArrow(run, "n long, weights array<double>").collect()  # a row a task
-    n = sum(r["n"] for r in rows)
-    return np.sum([r["weights"] for r in rows], 0).reshape(_GATES, CONTEXTS) / n if n else np.full((_GATES, CONTEXTS), 0.4)
+    sums = docs.select("text").mapInArrow(run, "n long, weights array<double>")  # a row a task
+    sums = sums.selectExpr("n", "posexplode(weights) AS (k, w)").groupBy("k").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    out = np.full(_GATES * CONTEXTS, 0.4)
+    for r in sums.collect():
+        if r["n"]:
+            out[r["k"]] = r["w"] / r["n"]
+    return out.reshape(_GATES, CONTEXTS)
 
 
-def model_scores(docs: DataFrame, training: DataFrame, rate: float = 0.002, sample: int = 1000) -> DataFrame:
+def model_scores(docs: DataFrame, training: DataFrame, rate: float = 0.002) -> DataFrame:
     """``docs`` (with text) plus score, the log10 probability of the whole lower-case text; ``training`` (text) teaches."""
     spark = docs.sparkSession
     tree = huffman(byte_counts(training))
     logits = context_logits(training, tree)
     model = spark.sparkContext.broadcast((astuple(tree), logits))
-    first = first_weights(training, model, rate, sample)
+    first = first_weights(training, model, rate)
     kept = docs.drop("score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", score double"
 
@@ -330,36 +398,90 @@ def model_scores(docs: DataFrame, training: DataFrame, rate: float = 0.002, samp
     return kept.mapInArrow(run, schema)
 
 
-def tokens_of(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(index of the text, token) of every token but the ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    real = pc.not_equal(words, "")
+    return rows.filter(real).to_numpy(), words.filter(real)
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(token, c) over all texts of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, rows in byte_steps(batch.column("text"), _TOKEN_STEP):
+                found = pc.value_counts(_tokens(batch.column("text").slice(start, rows))[1])
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["token", "c"])
+
+    return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+
+
+def _looked_up(docs: DataFrame, words: Broadcast) -> DataFrame:
+    """(doc, body, n, k, s) a row of ``docs``: tokens, those among ``words`` and the sum of their logs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logs = words.value
+        for batch in batches:
+            for start, size in byte_steps(batch.column("text"), _TOKEN_STEP):
+                rows, tokens = _tokens(batch.column("text").slice(start, size))
+                coded = tokens.dictionary_encode()
+                at = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
+                met = at >= 0
+                out = [np.bincount(rows, minlength=size), np.bincount(rows[met], minlength=size), np.bincount(rows[met], logs[at[met]], size).astype(np.float64)]
+                keys = [batch.column(c).slice(start, size) for c in ("doc", "body")]
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, out)], ["doc", "body", "n", "k", "s"])
+
+    return docs.select("doc", "body", "text").mapInArrow(run, "doc long, body long, n long, k long, s double")
+
+
+def _others(docs: DataFrame, words: Broadcast) -> DataFrame:
+    """(token, at: doc, body, t): each other token of a step through the texts once, with how often it is in which of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value[0]
+        for batch in batches:
+            for start, size in byte_steps(batch.column("text"), _TOKEN_STEP):
+                rows, tokens = _tokens(batch.column("text").slice(start, size))
+                coded = tokens.dictionary_encode()
+                other = pc.is_null(pc.index_in(coded.dictionary, value_set=known)).to_numpy(zero_copy_only=False)
+                code = coded.indices.to_numpy().astype(np.int64)
+                seldom = other[code]
+                pairs, t = np.unique(code[seldom] * size + rows[seldom], return_counts=True)
+                code, row = pairs // size, pairs % size
+                which, first = np.unique(code, return_index=True)
+                keys = [batch.column(c).slice(start, size).take(pa.array(row)) for c in ("doc", "body")]
+                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), pa.StructArray.from_arrays([*keys, pa.array(t)], ["doc", "body", "t"]))
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(which)), at], ["token", "at"])
+
+    return docs.select("doc", "body", "text").mapInArrow(run, "token string, at array<struct<doc:long,body:long,t:long>>")
 
 
 def unigram_scores(docs: DataFrame, training: DataFrame, frequent: int = 100_000) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score) by ``key`` of ``docs`` (key, text): add-one unigrams with an end token.
 
-    Rows of equal key are one text. Tokens that make up at least one in ``frequent`` of the training tokens, so at most that
-    many, are looked up in the tasks; of the others each text's distinct ones move to their counts.
+    A key is a struct of doc and body; rows of equal key hold equal texts and get one row, of one text. Tokens that make up at
+    least one in ``frequent`` of the training tokens, so at most that many, are looked up in the tasks; the others move to
+    their counts, each once a step with the texts that hold it, and sums by text move back.
     """
-    learnt = training.select(F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    learnt = written(learnt, "token-counts")
+    spark = docs.sparkSession
+    learnt = written(token_counts(training), "token-counts")
     ends = training.count()
     size = learnt.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"] + ends, size["v"] + (1 if ends else 0)
-    common = learnt.where(F.col("c") * frequent >= max(1, total))
+    common = learnt.where(F.col("c") * frequent >= max(1, total)).collect()  # at most `frequent` rows
     rare = learnt.where(F.col("c") * frequent < max(1, total))
-    each = docs.select("key", F.explode(tokens_of(F.col("text"))).alias("token"))
-    met = each.join(F.broadcast(common), "token", "left")  # at most `frequent` rows
-    log = F.log10(F.col("c") + 1.0)
-    sums = met.groupBy("key").agg(F.count("*").alias("n"), F.count("c").alias("k"), F.coalesce(F.sum(log), F.lit(0.0)).alias("s"))
-    seldom = each.join(F.broadcast(common), "token", "left_anti").groupBy("key", "token").agg(F.count("*").alias("t"))
-    seldom = seldom.join(rare, "token").groupBy("key").agg(F.sum("t").alias("rare_k"), F.sum(F.col("t") * log).alias("rare_s"))
-    out = docs.select("key").distinct().join(sums, "key", "left").join(seldom, "key", "left")
-    n = F.coalesce("n", F.lit(0)) + 1
-    known = F.coalesce("k", F.lit(0)) + F.coalesce("rare_k", F.lit(0)) + (1 if ends else 0)
-    logs = F.coalesce("s", F.lit(0.0)) + F.coalesce("rare_s", F.lit(0.0)) + float(np.log10(ends + 1))
-    score = logs - n * float(np.log10(total + distinct + 1))
-    return out.select("key", n.cast("long").alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), score.alias("base_score"))
+    words = spark.sparkContext.broadcast((pa.array([r["token"] for r in common], pa.string()), np.log10(np.array([r["c"] for r in common], np.float64) + 1)))
+    rows = docs.select("key.doc", "key.body", "text")
+    sums = _looked_up(rows, words).selectExpr("doc", "body", "1L AS copies", "n", "k", "s")
+    seldom = _others(rows, words).join(rare, "token").select(F.explode("at").alias("at"), F.log10(F.col("c") + 1.0).alias("log"))
+    seldom = seldom.selectExpr("at.doc", "at.body", "0L AS copies", "0L AS n", "at.t AS k", "at.t * log AS s")
+    sums = sums.union(seldom).groupBy("doc", "body").agg(*[F.sum(c).alias(c) for c in ("copies", "n", "k", "s")])
+    n, known = F.expr("n DIV copies") + 1, F.expr("k DIV copies") + (1 if ends else 0)
+    score = F.col("s") / F.col("copies") + float(np.log10(ends + 1)) - n * float(np.log10(total + distinct + 1))
+    key = F.struct("doc", "body").alias("key")
+    return sums.select(key, n.alias("n_tokens"), known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), score.alias("base_score"))
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -287,6 +287,56 @@ def test_score_depends_on_the_text_alone():
     assert lm_scoring.mix(texts, tree, logits, first, 0.002)[0].tolist() == alone
 
 
+def test_first_weights_come_from_all_training_texts(spark):
+    """Over a thousand texts, short ones among them: the mean, by bytes, of what each ends with."""
+    texts = [" ".join(prose(k, 4 + k % 60)) for k in range(1200)] + ["a", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    tree = lm_scoring.huffman(lm_scoring.byte_counts(docs))
+    logits = lm_scoring.context_logits(docs, tree)
+    model = spark.sparkContext.broadcast((lm_scoring.astuple(tree), logits))
+    ends = lm_scoring.mix(texts, tree, logits, np.full((lm_scoring._GATES, lm_scoring.CONTEXTS), 0.4), 0.002)[1]
+    want = np.average(ends, 0, [len(t or "") + 1 for t in texts])
+    assert np.allclose(lm_scoring.first_weights(docs, model, 0.002), want, rtol=1e-12)
+
+
+def test_context_logits_count_every_decision(spark):
+    """Packed blocks of many tasks add up to the counts of all texts."""
+    texts = [" ".join(prose(k, 40)) for k in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    tree = lm_scoring.huffman(lm_scoring.byte_counts(docs))
+    counts = np.zeros((lm_scoring._OFFSETS[-1], 2), np.int64)
+    for text in texts:
+        data, _, contexts = lm_scoring._read([lm_scoring.Part(0, text.encode() + b"\0", b"", 0)])
+        size, spot = lm_scoring._decisions(tree, data)
+        for k, context in enumerate(contexts):
+            np.add.at(counts, (lm_scoring._OFFSETS[k] + lm_scoring._slots(k, context, size, tree.node[spot]), tree.bit[spot]), 1)
+    want = np.log((counts[:, 1] + 0.2) / (counts[:, 0] + 0.2)).astype(np.float16)
+    assert (lm_scoring.context_logits(docs, tree) == want).all()
+    block = np.random.default_rng(0).integers(0, 1 << 31, lm_scoring._BLOCK)
+    assert (lm_scoring._unpacked(lm_scoring._packed(block)) == block).all()
+
+
+def test_base_scores_move_a_rare_token_once_a_step(spark):
+    """No row by text and token leaves a task, and repeated rows are each scored as one text."""
+    words = [f"w{k}" for k in range(50)]
+    docs = [(k, " ".join([*words, *words[: k % 7], "\x1c\xa0 Éa", "\tA\x0b"])) for k in range(40)] + [(3, "Same same  other"), (3, "Same same  other"), (None, "w1"), (4, "")]
+    rows = spark.createDataFrame(docs, "doc long, text string").coalesce(1).selectExpr("coalesce(doc, -1) AS doc", "xxhash64(text) AS body", "text")
+    words_known = spark.sparkContext.broadcast((pa.array(["w0"]), np.zeros(1)))
+    moved = lm_scoring._others(rows, words_known).collect()
+    assert len({r["token"] for r in moved}) == len(moved) == 54
+    counts = Counter(x for _, t in docs for x in [*re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), None])
+    for frequent in (1, 20, 100_000):
+        keyed = rows.selectExpr("struct(doc, body) AS key", "text")
+        got = {(r["key"]["doc"], r["text"]): r for r in lm_scoring.unigram_scores(keyed, rows.select("text"), frequent).join(keyed.distinct(), "key").collect()}
+        assert len(got) == len(set(docs))
+        for doc, text in docs:
+            tokens = [*re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)), None]
+            r = got[-1 if doc is None else doc, text]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), len(tokens), sum(counts.values()))
+            total = sum(math.log10((counts[x] + 1) / (sum(counts.values()) + len(counts) + 1)) for x in tokens)
+            assert math.isclose(r["base_score"], total, rel_tol=1e-9)
+
+
 def test_pieces_of_long_texts_read_like_the_whole():
     """Bytes and contexts of the pieces, one behind the other, are those of the text."""
     text = ("some words of varying lengths, né " * 20_000).encode()
