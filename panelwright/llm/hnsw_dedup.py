@@ -74,32 +74,48 @@ def beam_search(q: np.ndarray, x: np.ndarray, links: np.ndarray, entry: np.ndarr
     sims[:, : entry.shape[1]] = np.einsum("bd,bed->be", q, x[entry])
     done[:, : entry.shape[1]] = False
     np.put_along_axis(seen, entry, True, 1)
-    live = np.arange(b)
-    while len(live):
-        open_sims = np.where(done[live], -3, sims[live])
+    # Queries leave when none of their nodes is open; what is kept of those that go on is moved together then.
+    live, asked, met = np.arange(b), q, seen.ravel()
+    now = [ids, sims, done]
+    while True:
+        open_sims = np.where(now[2], -3, now[1])
+        goes_on = open_sims.max(1) > -3
+        if not goes_on.all():
+            for whole, part in zip((ids, sims, done), now):
+                whole[live] = part
+            live, asked, open_sims, now = live[goes_on], asked[goes_on], open_sims[goes_on], [part[goes_on] for part in now]
+        if not len(live):
+            return ids, sims
         pick = np.argsort(-open_sims, axis=1, kind="stable")[:, :step]
         use = np.take_along_axis(open_sims, pick, 1) > -3
-        live, pick, use = live[use.any(1)], pick[use.any(1)], use[use.any(1)]
-        if not len(live):
-            break
-        done[live[:, None], pick] |= use
-        nodes = np.where(use, np.take_along_axis(ids[live], pick, 1), -1)
-        near = np.where(nodes[:, :, None] >= 0, links[nodes], -1).reshape(len(live), -1)
+        at = np.arange(len(live))[:, None]
+        now[2][at, pick] |= use
+        nodes = np.where(use, now[0][at, pick], -1)
+        near = links.take(nodes, 0)
+        near[nodes < 0] = -1
+        near = near.reshape(len(live), -1)
         near.sort(axis=1)
         fresh = near >= 0
         fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-        fresh &= ~seen[live[:, None], near]
-        r, c = np.nonzero(fresh)
-        found = near[r, c]
-        seen[live[r], found] = True
-        sim = np.full(near.shape, -2, x.dtype)
-        sim[r, c] = np.einsum("nd,nd->n", q[live[r]], x[found])
-        all_ids = np.concatenate((ids[live], np.where(fresh, near, -1)), 1)
-        all_sims = np.concatenate((sims[live], sim), 1)
-        all_done = np.concatenate((done[live], ~fresh), 1)
-        best = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-        ids[live], sims[live], done[live] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_sims, all_done))
-    return ids, sims
+        spots = np.flatnonzero(fresh)
+        r = spots // near.shape[1]
+        place = live[r] * n + near.ravel()[spots]
+        new = ~met[place]
+        spots, r, place = spots[new], r[new], place[new]
+        met[place] = True
+        # What is new to each query, moved to the left of its row.
+        counts = np.bincount(r, minlength=len(live))
+        column = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+        found = near.ravel()[spots]
+        more = int(counts.max()) if len(r) else 0
+        new_ids, new_sims, new_done = np.full((len(live), more), -1, np.int64), np.full((len(live), more), -2, x.dtype), np.ones((len(live), more), bool)
+        new_ids[r, column] = found
+        new_sims[r, column] = np.einsum("nd,nd->n", np.repeat(asked, counts, 0), x.take(found, 0))
+        new_done[r, column] = False
+        now = [np.concatenate(pair, 1) for pair in zip(now, (new_ids, new_sims, new_done))]
+        if more:
+            best = np.argpartition(-now[1], width - 1, axis=1)[:, :width]
+            now = [part[at, best] for part in now]
 
 
 def range_search(q: np.ndarray, x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], least: float, width: int, entry: np.ndarray | None) -> list[np.ndarray]:

@@ -103,6 +103,33 @@ def test_near_vectors_equal_brute_force(spark, tables, vectors):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_beam_search_equals_a_search_one_by_one():
+    """Queries that end early and late, side by side, meet the same nodes as each alone; a beam of all nodes meets all that links reach."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = hnsw_dedup.build_graph(x, 6, 20)
+    links[390:] = -1  # dead ends
+    q = np.concatenate((x[:40] + rng.normal(scale=0.02, size=(40, 12)), rng.normal(size=(20, 12))))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    entry = np.concatenate((np.full((30, 1), 395), rng.integers(0, 390, (30, 1))))
+    before = links.copy()
+    ids, sims = hnsw_dedup.beam_search(q, x, links, entry, 10)
+    assert (links == before).all()
+    for k in range(len(q)):
+        alone, own = hnsw_dedup.beam_search(q[k : k + 1], x, links, entry[k : k + 1], 10)
+        assert set(alone[0]) == set(ids[k]) and np.allclose(np.sort(own[0]), np.sort(sims[k]))
+    assert all(set(row) == {395, -1} for row in ids[:30])
+    ids, sims = hnsw_dedup.beam_search(q[30:], x, links, entry[30:], 400)
+    for row, start in zip(ids, entry[30:, 0]):
+        reached, border = {start}, {start}
+        while border:
+            border = {int(v) for u in border for v in links[u] if v >= 0} - reached
+            reached |= border
+        assert set(row[row >= 0]) == reached
+    assert np.allclose(np.where(ids >= 0, (q[30:] @ x.T)[np.arange(30)[:, None], ids], -2), sims)
+
+
 def test_near_vectors_over_several_shards(spark, vectors):
     links, root = classes(vectors, 0.95)
     got = hnsw_dedup.near_duplicates(spark.createDataFrame(vectors, VECTORS), shard_rows=100).collect()
