@@ -34,8 +34,12 @@ _BINS = 24
 _CHUNK, _LATER, _BEGINNING = 64, 512, 4096
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 END = 0
-#: Bytes that are worked on at once; a longer text is read in pieces of about as many.
+#: A text of more than twice as many bytes is read in pieces of about as many.
 _STEP = 1 << 17
+#: Bytes of texts that are read side by side.
+_SIDE = 1 << 18
+#: Bytes whose contexts are counted at once.
+_COUNT_STEP = 1 << 20
 #: Bytes of text whose tokens are told apart at once.
 _TOKEN_STEP = 1 << 22
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -87,7 +91,7 @@ class Part:
 
 
 def _parts(texts: list[str | None]) -> Iterator[list[Part]]:
-    """Parts in steps of about ``_STEP`` bytes. Pieces of a long text are steps of their own, in order."""
+    """Parts in steps of about ``_SIDE`` bytes, the longest first. Pieces of a long text are steps of their own, in order."""
     held: list[Part] = []
     size = 0
     for k, text in enumerate(texts):
@@ -95,13 +99,13 @@ def _parts(texts: list[str | None]) -> Iterator[list[Part]]:
         if len(raw) > 2 * _STEP:
             yield from ([part] for part in _pieces(k, raw))
             continue
-        if held and size + len(raw) > _STEP:
-            yield held
+        if held and size + len(raw) > _SIDE:
+            yield sorted(held, key=lambda p: -len(p.body))
             held, size = [], 0
         held.append(Part(k, raw + b"\0", b"", 0))
         size += len(raw) + 64
     if held:
-        yield held
+        yield sorted(held, key=lambda p: -len(p.body))
 
 
 def _pieces(row: int, raw: bytes) -> Iterator[Part]:
@@ -119,15 +123,14 @@ def _pieces(row: int, raw: bytes) -> Iterator[Part]:
 
 
 def _read(parts: list[Part]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of the parts, the index of the part of each, and each predictor's context, also over what stands before a part."""
-    lengths = np.array([len(p.before) + len(p.body) for p in parts], np.int64)
+    """Bytes of the parts, the number of each, and each predictor's context, also over what stands before a part."""
+    lengths, before = np.array([len(p.body) for p in parts], np.int64), np.array([len(p.before) for p in parts], np.int64)
     data = np.frombuffer(b"".join(p.before + p.body for p in parts), np.uint8)
-    owner = np.repeat(np.arange(len(parts)), lengths)
-    contexts = _contexts(data, lengths)
-    if not any(p.before for p in parts):
-        return data, owner, contexts
-    inside = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= np.array([len(p.before) for p in parts])[owner]
-    return data[inside], owner[inside], [c[inside] for c in contexts]
+    contexts = _contexts(data, before + lengths)
+    if before.any():
+        inside = np.repeat(np.tile([False, True], len(parts)), np.stack((before, lengths), 1).ravel())
+        data, contexts = data[inside], [c[inside] for c in contexts]
+    return data, lengths, contexts
 
 
 def _contexts(data: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -191,6 +194,47 @@ def _slots(k: int, context: np.ndarray, size: np.ndarray, spread: np.ndarray) ->
     return h.astype(np.int64)
 
 
+def _keys(context: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Context and byte in one number."""
+    keys = context.astype(np.uint64)
+    keys <<= np.uint64(8)
+    keys |= data
+    return keys
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted numbers differs from the one before it."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
+def _add_counts(total: np.ndarray, tree: Tree, found: list[np.ndarray]) -> None:
+    """Add the decisions of all keys, by predictor, to ``total``. Contexts and bytes recur, so equal ones are told apart
+    into decisions once, with their number."""
+    for k, keys in enumerate(found):
+        keys.sort()
+        first = np.flatnonzero(_runs(keys))
+        times = np.diff(np.append(first, len(keys))).astype(np.int32)
+        for low in range(0, len(first), _STEP):
+            some = keys[first[low : low + _STEP]]
+            size, spot = _decisions(tree, (some & np.uint64(255)).astype(np.int64))
+            slot = _slots(k, (some >> np.uint64(8)).astype(np.uint32), size, tree.node[spot])
+            slot *= 2
+            slot += tree.bit[spot]
+            np.add.at(total[2 * _OFFSETS[k] : 2 * _OFFSETS[k + 1]], slot, np.repeat(times[low : low + _STEP], size))
+
+
+def _single(half: np.ndarray) -> np.ndarray:
+    """Finite numbers of half precision in single precision, by shifting their bits: several times as fast as a cast."""
+    bits = half.view(np.int16).astype(np.int32)
+    bits <<= 13
+    bits &= ~0x70000000  # the sign had spread over the exponent's upper bits
+    out = bits.view(np.float32)
+    out *= np.float32(2.0**112)
+    return out
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Counts compressed with their low bytes first, then the next ones: most counts are small."""
     return pa.compress(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
@@ -203,13 +247,18 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def byte_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+        pairs, total = np.zeros(1 << 16, np.int64), np.zeros(256, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                raw = (text.as_py() or "").encode().translate(_LOWER)
-                for start in range(0, len(raw), _STEP):
-                    total += np.bincount(np.frombuffer(raw, np.uint8, min(_STEP, len(raw) - start), start), minlength=256)
-                total[END] += 1
+            for start, rows in byte_steps(batch.column("text"), _TOKEN_STEP):
+                raw = np.frombuffer(b"".join(batch.column("text").slice(start, rows).cast(pa.binary()).drop_null().to_pylist()), np.uint8)
+                for low in range(0, len(raw) // 2 * 2, _STEP):  # two bytes at a time
+                    pairs += np.bincount(raw[low : min(low + _STEP, len(raw) // 2 * 2)].view(np.uint16), minlength=1 << 16)
+                total += np.bincount(raw[len(raw) // 2 * 2 :], minlength=256)
+                total[END] += rows
+        total += pairs.reshape(256, 256).sum(0) + pairs.reshape(256, 256).sum(1)
+        upper = slice(ord("A"), ord("Z") + 1)
+        total[ord("a") : ord("z") + 1] += total[upper]
+        total[upper] = 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
 
     out = np.zeros(256, np.int64)
@@ -228,15 +277,18 @@ def context_logits(docs: DataFrame, tree: Tree) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = Tree(*plain), np.zeros(_OFFSETS[-1] * 2, np.int32)
+        held, size = [], 0
         for batch in batches:
-            for start, rows in byte_steps(batch.column("text"), _STEP):
+            for start, rows in byte_steps(batch.column("text"), _SIDE):
                 for parts in _parts(batch.column("text").slice(start, rows).to_pylist()):
                     data, _, contexts = _read(parts)
-                    size, at = _decisions(known, data)
-                    node, bit = known.node[at], known.bit[at]
-                    for k, context in enumerate(contexts):
-                        slot = _slots(k, context, size, node) * 2 + bit
-                        np.add.at(total[2 * _OFFSETS[k] : 2 * _OFFSETS[k + 1]], slot, np.int32(1))
+                    held.append([_keys(context, data) for context in contexts])
+                    size += len(data)
+                    if size > _COUNT_STEP:
+                        _add_counts(total, known, [np.concatenate(x) for x in zip(*held)])
+                        held, size = [], 0
+        _add_counts(total, known, [np.concatenate(x) for x in zip(*held)])
+        del held
         blocks = total.reshape(-1, _BLOCK)
         for some in np.array_split(np.flatnonzero(blocks.any(1)), 32):  # a batch is a small part of the table
             counts = pa.array([_packed(blocks[k]) for k in some], pa.binary())
@@ -263,16 +315,16 @@ def context_logits(docs: DataFrame, tree: Tree) -> np.ndarray:
 
 @dataclass
 class State:
-    """What adapts while texts are read side by side: weights by predictor, each by text and gate; refinement by text and bin."""
+    """What adapts while texts are read side by side: weights by predictor, text and gate; refinement by text and bin."""
 
-    weights: list[np.ndarray]
+    weights: np.ndarray
     ones: np.ndarray
     met: np.ndarray
 
     @classmethod
     def fresh(cls, first: np.ndarray, n: int) -> State:
         centre = 1 / (1 + np.exp(-(np.arange(_BINS) - _BINS / 2 + 0.5)))
-        return cls([np.tile(first[:, k], n) for k in range(CONTEXTS)], np.tile(centre * 8, n), np.full(n * _BINS, 8.0))
+        return cls(np.tile(first.T, n), np.tile(centre * 8, n), np.full(n * _BINS, 8.0))
 
 
 def mix(texts: list[str | None], tree: Tree, logits: np.ndarray, first: np.ndarray, rate: float, score: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -283,72 +335,116 @@ def mix(texts: list[str | None], tree: Tree, logits: np.ndarray, first: np.ndarr
         if [p.row for p in parts] != rows:  # else the next piece of the same long text
             state, rows = State.fresh(first, len(parts)), [p.row for p in parts]
         np.add.at(out, rows, _mix(parts, tree, logits, state, rate, score))
-        ends[rows] = np.stack(state.weights, 1).reshape(len(rows), _GATES, CONTEXTS)
+        ends[rows] = state.weights.T.reshape(len(rows), _GATES, CONTEXTS)
     return out, ends
 
 
-def _mix(parts: list[Part], tree: Tree, logits: np.ndarray, state: State, rate: float, score: bool = True) -> np.ndarray:
-    """log10 probability of each part; ``state`` goes on. All parts are read side by side, chunk by chunk. Without
-    ``score`` only the weights go on, which do not depend on the refinement, and zeros come back."""
-    data, doc, contexts = _read(parts)
-    n = len(parts)
-    lengths = np.bincount(doc, minlength=n)
-    at = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.array([p.start for p in parts])[doc]
-    turn = np.where(at < _BEGINNING, at // _CHUNK, _BEGINNING // _CHUNK + (at - _BEGINNING) // _LATER)
-    turn -= turn.min()
+def _turns(parts: list[Part], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte and length of each block, the bytes of a part between two adaptations, in order of turn and part; where
+    turns begin among the blocks). Parts come longest first, so those of a turn are the first ones."""
+    begin, border = np.array([p.start for p in parts]), _BEGINNING // _CHUNK
+    late = np.array([begin, begin + lengths - 1])
+    first, last = np.where(late < _BEGINNING, late // _CHUNK, border + (late - _BEGINNING) // _LATER)
+    blocks = last - first + 1
+    part = np.repeat(np.arange(len(parts)), blocks)
+    turn = np.arange(len(part)) - np.repeat(np.cumsum(blocks) - blocks - first, blocks)
+    low, high = (np.where(t < border, t * _CHUNK, _BEGINNING + (t - border) * _LATER) for t in (turn, turn + 1))
+    low, high = np.maximum(low, begin[part]), np.minimum(high, (begin + lengths)[part])
     order = np.argsort(turn, kind="stable")
-    data, doc, turn = data[order], doc[order], turn[order]
-    size, spot = _decisions(tree, data)
-    node, bit = tree.node[spot], tree.bit[spot]
-    signal = [logits[_OFFSETS[k] : _OFFSETS[k + 1]][_slots(k, context[order], size, node)].astype(np.float32) for k, context in enumerate(contexts)]
-    gate = np.repeat((doc * _GATES).astype(np.int32), size)
-    gate += np.minimum(tree.depth, _GATES - 1).astype(np.int32)[spot]
-    after = np.concatenate(([0], np.cumsum(size)))
-    edges = after[np.searchsorted(turn, np.arange(turn[-1] + 2))]
-    weights, ones, met = state.weights, state.ones, state.met
-    bits, half = bit.astype(np.float32), np.float32(_BINS / 2)
-    if score:
-        cells = np.repeat((doc * (2 * _BINS)).astype(np.int32), size)
-        cells += bit
-        refined = np.empty(len(bit), np.float32)
-    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        g, s = gate[low:high].astype(np.int64), [x[low:high] for x in signal]
-        z = weights[0].astype(np.float32)[g]
-        z *= s[0]
+    at = (low + (np.cumsum(lengths) - lengths - begin)[part])[order]
+    turn = turn[order]
+    return at, (high - low)[order], np.append(np.flatnonzero(_runs(turn)), len(turn))
+
+
+def _mix(parts: list[Part], tree: Tree, logits: np.ndarray, state: State, rate: float, score: bool = True) -> np.ndarray:
+    """log10 probability of each part; ``state`` goes on. All parts are read side by side, turn by turn. Without
+    ``score`` only the weights go on, which do not depend on the refinement, and zeros come back.
+
+    Decisions are laid out by their depth, then by turn and part, so those that share weights stand side by side.
+    """
+    data, lengths, contexts = _read(parts)
+    at, lengths, turns = _turns(parts, lengths)
+    order = np.repeat(at - np.cumsum(lengths) + lengths, lengths)
+    order += np.arange(len(data))
+    data = data[order].astype(np.int64)
+    size = tree.size[data]
+    levels = int(size.max())
+    # Decisions by block and depth: from the number of bytes by block and size.
+    number = np.repeat(np.arange(len(lengths)) * (levels + 1), lengths)
+    number += size
+    number = np.bincount(number, minlength=len(lengths) * (levels + 1)).reshape(-1, levels + 1)
+    number = np.ascontiguousarray(np.cumsum(number[:, :0:-1], 1)[:, ::-1])
+    edges = np.concatenate((np.zeros((1, levels), np.int64), np.cumsum(number, 0)))[turns].tolist()
+    # Signals and bit of all decisions, by depth.
+    depths = np.minimum(tree.depth, levels)  # the last row is not used
+    nodes, bits = np.zeros((levels + 1, 256), np.uint32), np.zeros((levels + 1, 256), np.float16)
+    nodes[depths, np.repeat(np.arange(256), tree.size)], bits[depths, np.repeat(np.arange(256), tree.size)] = tree.node, tree.bit
+    size, contexts = size.astype(np.int8), [c[order] for c in contexts]
+    laid, tables = [], [logits[_OFFSETS[k] : _OFFSETS[k + 1]].astype(np.float16, copy=False) for k in range(CONTEXTS)]
+    for level in range(levels):
+        deep = np.flatnonzero(size > level)
+        if len(deep) < len(size):
+            size, data, contexts = size[deep], data[deep], [c[deep] for c in contexts]
+        node, rows = nodes[level].take(data, mode="clip"), np.empty((CONTEXTS + 1, len(data)), np.float16)
+        for k, context in enumerate(contexts):
+            slot = context + node
+            slot >>= np.uint32(32 - _BITS[k])
+            tables[k].take(slot.astype(np.int64), out=rows[k], mode="clip")
+        bits[level].take(data, out=rows[CONTEXTS], mode="clip")
+        laid.append(rows)
+    out, half = np.zeros(len(parts)), np.float32(_BINS / 2)
+    for turn, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        count = number[turns[turn] : turns[turn + 1]]
+        n = len(count)
+        count = count.T.ravel()
+        held = np.flatnonzero(count)
+        count = count[held]
+        level, part = np.divmod(held, n)
+        starts = np.cumsum(count)
+        starts -= count
+        gate = part * _GATES
+        gate += np.minimum(level, _GATES - 1)
+        rows = _single(np.concatenate([x[:, a:b] for x, a, b in zip(laid, low, high)], 1))
+        s, bit = rows[:CONTEXTS], rows[CONTEXTS]
+        weighed = np.repeat(state.weights[:, : n * _GATES].astype(np.float32)[:, gate], count, 1)
+        weighed *= s
+        z = weighed[0]
         for k in range(1, CONTEXTS):
-            more = weights[k].astype(np.float32)[g]
-            more *= s[k]
-            z += more
+            z += weighed[k]
         np.maximum(z, np.float32(0.01) - half, out=z)
         np.minimum(z, half - np.float32(0.01), out=z)
         p = np.negative(z)
         np.exp(p, out=p)
         p += 1
         np.reciprocal(p, out=p)
-        miss = bits[low:high] - p
+        miss = bit - p
         miss *= np.float32(rate)
+        s *= miss
+        sums = np.add.reduceat(s.astype(np.float64), starts, 1)
         for k in range(CONTEXTS):
-            weights[k] += np.clip(np.bincount(g, miss * s[k], n * _GATES), -0.1, 0.1)
+            more = np.bincount(gate, sums[k], n * _GATES)
+            np.maximum(more, -0.1, out=more)
+            np.minimum(more, 0.1, out=more)
+            state.weights[k, : n * _GATES] += more
         if score:
+            ones, met = state.ones[: n * _BINS], state.met[: n * _BINS]
             z += half
             cell = z.astype(np.int64)
-            cell *= 2
-            cell += cells[low:high]
+            cell += np.repeat(part * _BINS, count)
             p *= np.float32(0.7)
-            p += (0.3 * ones / met).astype(np.float32)[cell >> 1]
-            refined[low:high] = p
+            p += (0.3 * ones / met).astype(np.float32).take(cell, mode="clip")
+            cell *= 2
+            cell += bit.astype(np.int64)
             new = np.bincount(cell, minlength=2 * n * _BINS).reshape(-1, 2)
-            met += new.sum(1)
+            met += new[:, 0]
+            met += new[:, 1]
             ones += new[:, 1]
-    if not score:
-        return np.zeros(n)
-    chance = refined.astype(np.float64)
-    chance -= 1 - bit  # of the bit that came, but for the sign
-    np.abs(chance, out=chance)
-    np.maximum(chance, 1e-7, out=chance)
-    np.log(chance, out=chance)
-    gate //= _GATES
-    return np.bincount(gate, chance, n) / np.log(10)
+            chance = p.astype(np.float64)
+            chance -= 1 - bit  # of the bit that came, but for the sign
+            np.abs(chance, out=chance)  # above 4e-6, as z is bounded
+            np.log10(chance, out=chance)
+            out[:n] += np.bincount(part, np.add.reduceat(chance, starts), n)
+    return out
 
 
 def first_weights(docs: DataFrame, model: Broadcast, rate: float) -> np.ndarray:
@@ -359,7 +455,7 @@ def first_weights(docs: DataFrame, model: Broadcast, rate: float) -> np.ndarray:
         even = np.full((_GATES, CONTEXTS), 0.4)
         total, n = np.zeros((_GATES, CONTEXTS)), 0
         for batch in batches:
-            for start, size in byte_steps(batch.column("text"), _STEP):
+            for start, size in byte_steps(batch.column("text"), _SIDE):
                 texts = batch.column("text").slice(start, size)
                 read = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 1
                 total += np.tensordot(read, mix(texts.to_pylist(), tree, logits, even, rate, score=False)[1], 1)
@@ -390,7 +486,7 @@ def model_scores(docs: DataFrame, training: DataFrame, rate: float = 0.002) -> D
         known, tables = Tree(*model.value[0]), model.value[1]
         for batch in batches:
             scores: list[float] = []
-            for start, size in byte_steps(batch.column("text"), _STEP):
+            for start, size in byte_steps(batch.column("text"), _SIDE):
                 scores += mix(batch.column("text").slice(start, size).to_pylist(), known, tables, first, rate)[0].tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
         return_memory()

@@ -416,3 +416,67 @@ def test_near_duplicates_in_blocks_and_with_default_weights(spark):
     want = {k: find(k) for k in docs}
     for block in (7, 256):
         assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(frame, block=block).collect()} == want
+
+
+def test_counting_tells_equal_contexts_apart_once(monkeypatch):
+    """Decisions are worked out by different context and byte, with their number, not by every byte."""
+    rng = np.random.default_rng(1)
+    tree = lm_scoring.huffman(rng.integers(1, 1000, 256))
+    data, _, contexts = lm_scoring._read(next(lm_scoring._parts(["the old river " * 2000])))
+    want = np.zeros(2 * lm_scoring._OFFSETS[-1], np.int32)
+    size, spot = lm_scoring._decisions(tree, data)
+    for k, context in enumerate(contexts):
+        np.add.at(want, 2 * (lm_scoring._OFFSETS[k] + lm_scoring._slots(k, context, size, tree.node[spot])) + tree.bit[spot], 1)
+    seen, plain = [], lm_scoring._decisions
+    monkeypatch.setattr(lm_scoring, "_decisions", lambda tree, data: (seen.append(len(data)), plain(tree, data))[1])
+    got = np.zeros_like(want)
+    lm_scoring._add_counts(got, tree, [lm_scoring._keys(c, data) for c in contexts])
+    assert (got == want).all() and sum(seen) < 100
+
+
+def test_half_precision_by_shifted_bits():
+    half = np.arange(1 << 16, dtype=np.uint16).view(np.float16)
+    half = half[np.isfinite(half)]
+    assert (lm_scoring._single(half) == half.astype(np.float32)).all()
+
+
+def test_byte_counts_of_odd_lengths_nulls_and_capitals(spark):
+    texts = ["aBc", "É", "", None, "Z", "x" * 300_001]
+    want = Counter(b for t in texts for b in re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode() + b"\0")
+    got = lm_scoring.byte_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert {k: n for k, n in enumerate(got.tolist()) if n} == want
+
+
+def test_mixing_equals_a_decision_by_decision_loop():
+    """Weights and refinement adapt after every turn: 64 bytes up to byte 4096, 512 after it."""
+    rng = np.random.default_rng(2)
+    texts = ["", "Of the old river", " ".join(prose(1, 60)), " ".join(prose(2, 1500))]
+    counts = np.bincount(np.frombuffer("\0".join(texts).lower().encode(), np.uint8), minlength=256)
+    tree, rate = lm_scoring.huffman(counts), 0.002
+    logits = rng.normal(size=lm_scoring._OFFSETS[-1]).astype(np.float16)
+    first = rng.uniform(0.2, 0.5, (lm_scoring._GATES, lm_scoring.CONTEXTS))
+    bins = lm_scoring._BINS
+    got, ends = lm_scoring.mix(texts, tree, logits, first, rate)
+    assert len(texts[-1]) > 6000
+    for text, score, end in zip(texts, got, ends):
+        data, _, contexts = lm_scoring._read([lm_scoring.Part(0, text.lower().encode() + b"\0", b"", 0)])
+        weights, ones, met, total = first.copy(), 8 / (1 + np.exp(bins / 2 - 0.5 - np.arange(bins))), np.full(bins, 8.0), 0.0
+        for turn in [slice(a, a + 64) for a in range(0, 4096, 64)] + [slice(a, a + 512) for a in range(4096, len(data), 512)]:
+            change, new = np.zeros_like(weights), []
+            for byte, *found in zip(data[turn].tolist(), *(c[turn] for c in contexts)):
+                for at in range(tree.start[byte], tree.start[byte] + tree.size[byte]):
+                    slots = [(int(c) + int(tree.node[at])) % (1 << 32) >> 32 - b for c, b in zip(found, lm_scoring._BITS)]
+                    s = np.array([logits[o + x] for o, x in zip(lm_scoring._OFFSETS, slots)], np.float64)
+                    bit, gate = int(tree.bit[at]), min(int(tree.depth[at]), lm_scoring._GATES - 1)
+                    z = min(max(weights[gate] @ s, 0.01 - bins / 2), bins / 2 - 0.01)
+                    p = 1 / (1 + math.exp(-z))
+                    change[gate] += rate * (bit - p) * s
+                    cell = int(z + bins / 2)
+                    refined = 0.7 * p + 0.3 * ones[cell] / met[cell]
+                    total += math.log10(refined if bit else 1 - refined)
+                    new.append((cell, bit))
+            weights += np.clip(change, -0.1, 0.1)
+            for cell, bit in new:
+                met[cell] += 1
+                ones[cell] += bit
+        assert math.isclose(score, total, rel_tol=1e-4) and np.allclose(end, weights, atol=1e-4)
